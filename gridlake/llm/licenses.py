@@ -12,6 +12,8 @@ are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,21 +23,21 @@ from . import common
 #: phrase: label. Places where these words stand one after the other are always reported.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label: (keyword, regex of the licence's name in normalised text). Fixed values, written by hand.
+#: label: (starts of the name, one of which must occur; regex of the name in normalised text). Fixed values, written by hand.
 NAMES: dict[str, tuple[str, str]] = {
-    "mit": ("mit", "(?:the )?mit(?: expat)?"), "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? 1 1"), "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    "bsd-2-clause": ("bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"), "bsd-3-clause": ("bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"), "bsd-4-clause": ("bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"), "0bsd": ("bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
-    "gpl-1": ("g", "(?:gpl|gnu general public license)(?: version| v)? ?(?:v)?1(?: 0)?"), "gpl-2": ("g", "(?:gpl|gnu general public license)(?: version| v)? ?(?:v)?2(?: 0)?"), "gpl-3": ("g", "(?:gpl|gnu general public license)(?: version| v)? ?(?:v)?3(?: 0)?"),
-    "lgpl-2": ("l", "(?:lgpl|gnu library general public license)(?: version| v)? ?(?:v)?2(?: 0)?"), "lgpl-2.1": ("l", "(?:lgpl|gnu lesser general public license)(?: version| v)? ?(?:v)?2 1"), "lgpl-3": ("l", "(?:lgpl|gnu lesser general public license)(?: version| v)? ?(?:v)?3(?: 0)?"),
-    "agpl-3": ("a", "(?:agpl|gnu affero general public license)(?: version| v)? ?(?:v)?3(?: 0)?"), "mpl-1.1": ("m", "(?:mpl|mozilla public license)(?: version| v)? ?1 1"), "mpl-2": ("m", "(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?"),
-    "epl-1": ("e", "(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?"), "epl-2": ("e", "(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?"), "cddl-1": ("c", "(?:cddl|common development and distribution license)(?: version)? ?1(?: 0)?"), "isc": ("isc", "isc"),
-    "zlib": ("zlib", "zlib(?: libpng)?"), "bsl-1": ("boost", "boost(?: software)?(?: license)?(?: version)?(?: 1 0)?"), "unlicense": ("unlicense", "(?:the )?unlicense"), "wtfpl": ("wtfpl", "wtfpl"), "artistic-1": ("artistic", "artistic(?: license)?(?: version)? 1 0"), "artistic-2": ("artistic", "artistic(?: license)?(?: version)? 2 0"),
-    "eupl-1.2": ("e", "(?:eupl|european union public licen[cs]e)(?: version| v)?(?: 1 2)?"), "cecill": ("cecill", "cecill"), "ofl-1.1": ("o", "(?:ofl|sil open font license)(?: version)?(?: 1 1)?"), "psf-2": ("p", "(?:psf|python software foundation license)(?: version)?(?: 2)?"), "php-3": ("php", "php(?: license)? 3 01?"), "ruby": ("ruby", "ruby"),
-    "w3c": ("w3c", "w3c(?: software)?(?: notice)?"), "x11": ("x11", "x11"), "openssl": ("openssl", "openssl"), "postgresql": ("postgresql", "postgresql"), "ncsa": ("n", "(?:ncsa|university of illinois ncsa)"), "afl-3": ("a", "(?:afl|academic free license)(?: version)?(?: 3 0)?"), "osl-3": ("o", "(?:osl|open software license)(?: version)?(?: 3 0)?"),
-    "odbl": ("od", "(?:odbl|open database license)(?: 1 0)?"), "odc-by": ("odc", "(?:odc by|open data commons attribution license)(?: 1 0)?"), "pddl": ("p", "(?:pddl|public domain dedication and license)"), "cc0": ("c", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?"), "cc-by": ("c", "(?:cc by|creative commons attribution)(?: [1234] [05])?"),
-    "cc-by-sa": ("c", "(?:cc by sa|creative commons attribution sharealike|creative commons attribution share alike)(?: [1234] [05])?"), "cc-by-nc": ("c", "(?:cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial)(?: [1234] [05])?"), "cc-by-nd": ("c", "(?:cc by nd|creative commons attribution noderivatives|creative commons attribution no derivatives)(?: [1234] [05])?"),
-    "cc-by-nc-sa": ("c", "(?:cc by nc sa|creative commons attribution noncommercial sharealike|creative commons attribution non commercial share alike)(?: [1234] [05])?"), "cc-by-nc-nd": ("c", "(?:cc by nc nd|creative commons attribution noncommercial noderivatives|creative commons attribution non commercial no derivatives)(?: [1234] [05])?"),
-    "gfdl": ("g", "(?:gfdl|gnu free documentation license)(?: version)?(?: 1 [123])?"), "vim": ("vim", "vim"), "json": ("json", "json"), "tcl": ("tcl", "tcl"), "upl-1": ("u", "(?:upl|universal permissive license)(?: version)?(?: 1 0)?"), "ms-pl": ("m", "(?:ms pl|microsoft public license)"),
+    "mit": ("mit|the mit", "(?:the )?mit(?: expat)?"), "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? 1 1"), "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
+    "bsd-2-clause": ("simplified bsd|freebsd|bsd|2 clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"), "bsd-3-clause": ("bsd|new bsd|3 clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"), "bsd-4-clause": ("bsd|original bsd|4 clause", "(?:original bsd|bsd 4 clause|4 clause bsd)"), "0bsd": ("0bsd|zero clause|bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
+    "gpl-1": ("gpl|gnu general", "(?:gpl|gnu general public license)(?: version| v)? ?(?:v)?1(?: 0)?"), "gpl-2": ("gpl|gnu general", "(?:gpl|gnu general public license)(?: version| v)? ?(?:v)?2(?: 0)?"), "gpl-3": ("gpl|gnu general", "(?:gpl|gnu general public license)(?: version| v)? ?(?:v)?3(?: 0)?"),
+    "lgpl-2": ("lgpl|gnu library", "(?:lgpl|gnu library general public license)(?: version| v)? ?(?:v)?2(?: 0)?"), "lgpl-2.1": ("lgpl|gnu lesser", "(?:lgpl|gnu lesser general public license)(?: version| v)? ?(?:v)?2 1"), "lgpl-3": ("lgpl|gnu lesser", "(?:lgpl|gnu lesser general public license)(?: version| v)? ?(?:v)?3(?: 0)?"),
+    "agpl-3": ("agpl|gnu affero", "(?:agpl|gnu affero general public license)(?: version| v)? ?(?:v)?3(?: 0)?"), "mpl-1.1": ("mpl|mozilla", "(?:mpl|mozilla public license)(?: version| v)? ?1 1"), "mpl-2": ("mpl|mozilla", "(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?"),
+    "epl-1": ("epl|eclipse", "(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?"), "epl-2": ("epl|eclipse", "(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?"), "cddl-1": ("cddl|common development", "(?:cddl|common development and distribution license)(?: version)? ?1(?: 0)?"), "isc": ("isc", "isc"),
+    "zlib": ("zlib", "zlib(?: libpng)?"), "bsl-1": ("boost", "boost(?: software)?(?: license)?(?: version)?(?: 1 0)?"), "unlicense": ("unlicense|the unlicense", "(?:the )?unlicense"), "wtfpl": ("wtfpl", "wtfpl"), "artistic-1": ("artistic", "artistic(?: license)?(?: version)? 1 0"), "artistic-2": ("artistic", "artistic(?: license)?(?: version)? 2 0"),
+    "eupl-1.2": ("eupl|european union", "(?:eupl|european union public licen[cs]e)(?: version| v)?(?: 1 2)?"), "cecill": ("cecill", "cecill"), "ofl-1.1": ("ofl|sil open", "(?:ofl|sil open font license)(?: version)?(?: 1 1)?"), "psf-2": ("psf|python software", "(?:psf|python software foundation license)(?: version)?(?: 2)?"), "php-3": ("php", "php(?: license)? 3 01?"), "ruby": ("ruby", "ruby"),
+    "w3c": ("w3c", "w3c(?: software)?(?: notice)?"), "x11": ("x11", "x11"), "openssl": ("openssl", "openssl"), "postgresql": ("postgresql", "postgresql"), "ncsa": ("ncsa|university of illinois", "(?:ncsa|university of illinois ncsa)"), "afl-3": ("afl|academic free", "(?:afl|academic free license)(?: version)?(?: 3 0)?"), "osl-3": ("osl|open software", "(?:osl|open software license)(?: version)?(?: 3 0)?"),
+    "odbl": ("odbl|open database", "(?:odbl|open database license)(?: 1 0)?"), "odc-by": ("odc|open data", "(?:odc by|open data commons attribution license)(?: 1 0)?"), "pddl": ("pddl|public domain dedication", "(?:pddl|public domain dedication and license)"), "cc0": ("cc0|cc zero|creative commons", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?"), "cc-by": ("cc by|creative commons", "(?:cc by|creative commons attribution)(?: [1234] [05])?"),
+    "cc-by-sa": ("cc by|creative commons", "(?:cc by sa|creative commons attribution sharealike|creative commons attribution share alike)(?: [1234] [05])?"), "cc-by-nc": ("cc by|creative commons", "(?:cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial)(?: [1234] [05])?"), "cc-by-nd": ("cc by|creative commons", "(?:cc by nd|creative commons attribution noderivatives|creative commons attribution no derivatives)(?: [1234] [05])?"),
+    "cc-by-nc-sa": ("cc by|creative commons", "(?:cc by nc sa|creative commons attribution noncommercial sharealike|creative commons attribution non commercial share alike)(?: [1234] [05])?"), "cc-by-nc-nd": ("cc by|creative commons", "(?:cc by nc nd|creative commons attribution noncommercial noderivatives|creative commons attribution non commercial no derivatives)(?: [1234] [05])?"),
+    "gfdl": ("gfdl|gnu free", "(?:gfdl|gnu free documentation license)(?: version)?(?: 1 [123])?"), "vim": ("vim", "vim"), "json": ("json", "json"), "tcl": ("tcl", "tcl"), "upl-1": ("upl|universal permissive", "(?:upl|universal permissive license)(?: version)?(?: 1 0)?"), "ms-pl": ("ms pl|microsoft public", "(?:ms pl|microsoft public license)"),
 }
 #: (name, priority, share of certainty, keyword, regex with NAME in it). The forms in which a licence is named; fixed values.
 FORMS: list[tuple[str, int, float, str, str]] = [
@@ -52,8 +54,8 @@ OTHERS: list[tuple[str, int, float, str, str]] = [
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
-    """All rules in order: label, priority, certainty, keywords (each must occur), regex."""
-    made = [(label, pr, c, f"{kw} {own}", form.replace("NAME", name)) for label, (own, name) in NAMES.items() for _, pr, c, kw, form in FORMS]
+    """All rules in order: label, priority, certainty, keywords, regex. Keywords are word starts: ``&`` joins groups that must all occur, ``|`` alternatives in a group."""
+    made = [(label, pr, c, f"{kw}&{own}", form.replace("NAME", name)) for label, (own, name) in NAMES.items() for _, pr, c, kw, form in FORMS]
     return sorted([*made, *OTHERS], key=lambda r: (r[1], r[0], r[4]))
 
 
@@ -81,7 +83,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, table: list[tuple[
     table = rules_ if table is None else table
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
     # the texts' own gate: the forms' keywords and the phrases' words; licence names are looked for behind it
-    gates = {f[3] for f in FORMS} | {o[3] for o in OTHERS} | set(base) if table is rules_ else {r[3] for r in table} | set(base)
+    gates = {f[3] for f in FORMS} | {o[3] for o in OTHERS} | set(base) if table is rules_ else {w for r in table for w in r[3].split("&")[0].split("|")} | set(base)
     rows = rows.select("d", "h", common.word_count(F.col("t")).alias("n_words"), "t", F.lower("t").alias("lt"))
     rows = rows.select("d", "h", "n_words", F.when(gate(F.col("lt"), gates), F.col("t")).alias("t"))
     rows = rows.select("d", "h", "n_words", F.when(F.col("t").isNotNull(), F.concat(F.lit(" "), F.array_join(common.words_of(F.col("t")), " "), F.lit(" "))).alias("norm"))
@@ -99,14 +101,23 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, table: list[tuple[
     head = parts.select("d", "h", "n_words", n_base.alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), F.sort_array(F.array_distinct(labelled)).alias("bl"))
 
     # 2. rules of which the text holds the keyword, each with its intervals
-    literal = F.array(*[F.struct(F.lit(p).alias("pr"), F.lit(label).alias("label"), F.lit(c).alias("c"), F.array(*[F.lit(w) for w in kw.split()]).alias("kw"), F.lit(f"(?<= )(?:{rx})(?= )").alias("rx")) for label, p, c, kw, rx in table])
-    tried = rows.where(F.col("norm").isNotNull()).select("d", "h", "norm").distinct()
-    tried = tried.select("d", "h", "norm", F.explode(F.filter(literal, lambda r: F.forall(r["kw"], lambda w: F.contains(F.col("norm"), w)))).alias("r")).where(F.expr("regexp_like(norm, r.rx)"))
-    found = tried.select("d", "h", "r.pr", "r.label", "r.c", F.expr("split(norm, r.rx)").alias("gaps"), F.expr("regexp_extract_all(norm, r.rx, 0)").alias("got"))
-    each = found.select("d", "h", "pr", "label", "c", "gaps", "got", F.posexplode("got").alias("k", "m"))
-    # a detection starts after all gaps up to its own and all detections before it
-    lead = F.length(F.array_join(F.slice("gaps", 1, F.col("k") + 1), "")) + F.length(F.array_join(F.slice("got", 1, F.col("k")), ""))
-    spans = each.select("d", "h", "pr", "label", "c", lead.alias("s"), (lead + F.length("m")).alias("e"))
+    groups = [[g.split("|") for g in kw.split("&")] for _, _, _, kw, _ in table]
+    every = sorted({w for gs in groups for g in gs for w in g})
+    # the table is one literal, folded once: as an expression of its own for each rule it takes the optimizer half a minute
+    listed = [{"i": i, "pr": p, "label": label, "c": c, "kw": gs, "rx": f" (?:{rx})(?= )"} for i, ((label, p, c, _, rx), gs) in enumerate(zip(table, groups))]
+    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<i:int,pr:int,label:string,c:double,kw:array<array<string>>,rx:string>>")
+    words = F.from_json(F.lit(json.dumps(every)), "array<string>")
+    tried = rows.where(F.col("norm").isNotNull()).select("d", "h", "norm")
+    tried = tried.withColumn("there", F.filter(words, lambda w: F.contains(F.col("norm"), F.concat(F.lit(" "), w)))).where(F.size("there") > 0)
+    tried = tried.select("d", "h", "norm", F.explode(F.filter(literal, lambda r: F.forall(r["kw"], lambda g: F.arrays_overlap(g, F.col("there"))))).alias("r"))
+    found = tried.select("d", "h", "r.i", "r.pr", "r.label", "r.c", F.expr("split(norm, r.rx)").alias("gaps"), F.expr("regexp_extract_all(norm, r.rx, 0)").alias("got")).where(F.size("got") > 0)
+    each = found.select("d", "h", "i", "pr", "label", "c", F.posexplode(F.arrays_zip("gaps", "got")).alias("k", "x")).where(F.col("x.got").isNotNull())
+    each = each.select("d", "h", "i", "pr", "label", "c", "k", F.length("x.gaps").alias("gap"), F.length("x.got").alias("len"))
+    # repeated rows detect the same; a detection starts after all gaps and detections before it
+    each = each.repartition("d", "h").dropDuplicates(["d", "h", "i", "k"])
+    upto = W.partitionBy("d", "h", "i").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    end = F.sum(F.col("gap") + F.col("len")).over(upto)
+    spans = each.select("d", "h", "pr", "label", "c", end.alias("e"), (end - F.col("len")).alias("s"))
 
     # 3. suppression: going by start, longer and better first, one that ends within what came before is contained
     before = W.partitionBy("d", "h").orderBy("s", F.col("e").desc(), "pr", "label").rowsBetween(W.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, neardup
 
 _WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -40,6 +40,25 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
+def families(texts: list[str], bands: int = 12, rows: int = 4) -> list[int]:
+    """Examples that are copies of each other, near copies included, count as one when terms are tested:
+    else a text that is copied often would make all its words telling."""
+    keys = neardup.text_keys(texts, 5, bands, rows, False) if texts else []
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, row in enumerate(keys):
+        for k in row:
+            parent[root(i)] = root(first.setdefault(int(k), i))
+    return [root(i) for i in range(len(texts))]
+
+
 @dataclass
 class BlockMaxIndex:
     """Inverted lists over blocks of ``block`` examples with each term's largest weight of a block."""
@@ -140,15 +159,14 @@ def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, fl
     rows = sorted(rows, key=lambda r: (str(r[0]), r[1] or "", r[2]))
     counts = [word_counts(t) for _, t, _ in rows]
     y = np.array([r[2] for r in rows], dtype=int)
-    seen: set = set()
     df: tuple[Counter, Counter] = (Counter(), Counter())
     n = [0, 0]
-    for (_, t, label), c in zip(rows, counts):
-        if (t, label) in seen:
-            continue
-        seen.add((t, label))
+    members: dict[tuple[int, int], set[str]] = {}
+    for (_, _, label), c, f in zip(rows, counts, families([t or "" for _, t, _ in rows])):
+        members.setdefault((label, f), set()).update(c)
+    for (label, _), words in members.items():
         n[label] += 1
-        df[label].update({f for w in c for f in features(w)})
+        df[label].update({f for w in words for f in features(w)})
     total = max(1, n[0] + n[1])
     often = [f for f, a in df[1].items() if a >= 3]
     least = 2 * math.log(max(2, len(often))) + 4
@@ -161,6 +179,12 @@ def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, fl
         g = 2 * sum(o * math.log(o / e) for o, e in ((a, expected), (b, a + b - expected), (n[1] - a, n[1] - expected), (n[0] - b, n[0] - (a + b - expected))) if o > 0 and e > 0)
         if g >= least and a / max(1, n[1]) >= 4 * b / max(1, n[0]):
             chosen.append(f)
+    # a beginning that a longer chosen one accounts for says nothing of its own
+    longer = {(f[: n + 1], df[1][f]) for f in chosen if f[0] == "^" for n in PREFIXES if n < len(f) - 1}
+    held: dict[str, int] = {}
+    for f, a in longer:
+        held[f] = max(held.get(f, 0), a)
+    chosen = [f for f in chosen if held.get(f, 0) < 0.95 * df[1][f]]
     vocabulary = {f: i for i, f in enumerate(sorted(chosen))}
     idf = np.array([math.log((total + 1) / (df[0][f] + df[1][f] + 1)) + 1 for f in sorted(chosen)])
     at = [int((y == c).sum()) for c in (0, 1)]
