@@ -107,8 +107,10 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, table: list[tuple[
     listed = [{"i": i, "pr": p, "label": label, "c": c, "kw": gs, "rx": f" (?:{rx})(?= )"} for i, ((label, p, c, _, rx), gs) in enumerate(zip(table, groups))]
     literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<i:int,pr:int,label:string,c:double,kw:array<array<string>>,rx:string>>")
     words = F.from_json(F.lit(json.dumps(every)), "array<string>")
-    tried = rows.where(F.col("norm").isNotNull()).select("d", "h", "norm")
-    tried = tried.withColumn("there", F.filter(words, lambda w: F.contains(F.col("norm"), F.concat(F.lit(" "), w)))).where(F.size("there") > 0)
+    # the generator is a barrier: else the optimizer moves the making of ``norm`` into the lambdas below, once for each keyword
+    tried = rows.where(F.col("norm").isNotNull()).select("d", "h", F.explode(F.array("norm")).alias("norm"))
+    there = F.filter(words, lambda w: F.contains(F.col("norm"), F.concat(F.lit(" "), w)))
+    tried = tried.select("d", "h", "norm", F.explode(F.array(there)).alias("there"))
     tried = tried.select("d", "h", "norm", F.explode(F.filter(literal, lambda r: F.forall(r["kw"], lambda g: F.arrays_overlap(g, F.col("there"))))).alias("r"))
     found = tried.select("d", "h", "r.i", "r.pr", "r.label", "r.c", F.expr("split(norm, r.rx)").alias("gaps"), F.expr("regexp_extract_all(norm, r.rx, 0)").alias("got")).where(F.size("got") > 0)
     each = found.select("d", "h", "i", "pr", "label", "c", F.posexplode(F.arrays_zip("gaps", "got")).alias("k", "x")).where(F.col("x.got").isNotNull())
