@@ -82,3 +82,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def near(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A table of ids, marked for broadcast if it has at most ``most`` rows (some 16 MB); a larger one is shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def give_back() -> None:
+    """Return freed memory to the system after a fit: the driver shares its memory with a JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -107,7 +107,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, set
         stop = np.concatenate(([0], np.cumsum(cells)))
         at = 0
         while at < mine.size:
-            to = max(at + 1, int(np.searchsorted(stop, stop[at] + 2_000_000, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(stop, stop[at] + 400_000, side="right")) - 1)
             _throw(out, k, elements, weights, owner, mine[at:to], cells[at:to], span[at:to], begin)
             at = to
         empty = (out.reshape(sets, k) == full).any(1)

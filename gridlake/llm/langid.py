@@ -163,7 +163,10 @@ def fit(docs: DataFrame, per_language: int = 400, total: int = 3000, text: str =
     u = F.pmod(common.order_key(F.col("d")), F.lit(1 << 30)) / float(1 << 30)
     got = rows.where(u < share[F.col("g")]).select("d", "t", "g").collect()
     got.sort(key=lambda r: (r["d"], r["t"]))
-    return fit_texts([r["t"] for r in got], [r["g"] for r in got])
+    model = fit_texts([r["t"] for r in got], [r["g"] for r in got])
+    del got
+    common.give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

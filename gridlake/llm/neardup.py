@@ -27,7 +27,7 @@ from . import common
 from . import dartminhash as dart
 
 BANDS, ROWS = 42, 7
-_CHARS = 400_000
+_CHARS = 150_000
 
 
 def fingerprints(texts: list[str | None]) -> list[bytes | None]:

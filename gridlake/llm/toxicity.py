@@ -122,7 +122,7 @@ class ToxicityModel:
         for w, n in counts.items():
             got = self._words.get(w)
             if got is None:
-                if len(self._words) > 200_000:
+                if len(self._words) > 100_000:
                     self._words.clear()
                 got = self._words[w] = tuple(j for f in features(w) if (j := self.vocabulary.get(f)) is not None)
             for j in got:
@@ -157,17 +157,22 @@ class ToxicityModel:
 def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, float] | None = None) -> ToxicityModel:
     """rows: (id, text, label). share: the classes' shares among all labels, if the rows are a sample."""
     rows = sorted(rows, key=lambda r: (str(r[0]), r[1] or "", r[2]))
-    counts = [word_counts(t) for _, t, _ in rows]
     y = np.array([r[2] for r in rows], dtype=int)
-    df: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    members: dict[tuple[int, int], set[str]] = {}
-    for (_, _, label), c, f in zip(rows, counts, families([t or "" for _, t, _ in rows])):
-        members.setdefault((label, f), set()).update(c)
-    for (label, _), words in members.items():
-        n[label] += 1
-        df[label].update({f for w in words for f in features(w)})
+    members: dict[tuple[int, int], list[int]] = {}
+    for i, f in enumerate(families([t or "" for _, t, _ in rows])):
+        members.setdefault((int(y[i]), f), []).append(i)
+    n = [sum(1 for label, _ in members if label == c) for c in (0, 1)]
     total = max(1, n[0] + n[1])
+    # the toxic side first: only terms that it has often are counted on the other
+    df: tuple[Counter, Counter] = (Counter(), Counter())
+    for c in (1, 0):
+        for (label, _), own in members.items():
+            if label == c:
+                words = {w for i in own for w in _WORD.findall((rows[i][1] or "").lower())}
+                df[c].update({f for w in words for f in features(w) if c == 1 or f in df[1]})
+        if c == 1:
+            for f in [f for f, k in df[1].items() if k < 3]:
+                del df[1][f]
     often = [f for f, a in df[1].items() if a >= 3]
     least = 2 * math.log(max(2, len(often))) + 4
     chosen = []
@@ -191,7 +196,7 @@ def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, fl
     share = share or (at[0] / max(1, len(rows)), at[1] / max(1, len(rows)))
     weight = tuple(share[c] * len(rows) / at[c] if at[c] else 0.0 for c in (0, 1))
     model = ToxicityModel(vocabulary, idf, BlockMaxIndex([], max(1, len(vocabulary))), y, [], weight, 0.0)
-    vectors = [model.vector(c) for c in counts]
+    vectors = [model.vector(word_counts(t)) for _, t, _ in rows]
     none = [sum(1 for v, label in zip(vectors, y) if not v and label == c) * weight[c] for c in (0, 1)]
     model.base = min(0.49, (none[1] + 0.01) / (none[0] + none[1] + 1)) if rows else 0.0
     kept = [i for i, v in enumerate(vectors) if v]
@@ -199,7 +204,7 @@ def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, fl
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, longest: int = 50_000, label: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2400, longest: int = 50_000, label: str = "toxic") -> ToxicityModel:
     """Learn from the learning fold. ``toxic_rows``, ``clean_rows`` and ``longest`` (characters) are the
     documented bounds of the labelled sample; which rows it takes follows a fixed pseudo-random order."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(common.learnable(F.col("doc_id")) & F.col("y").isin(0, 1))
@@ -211,7 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
     sample = F.broadcast(picks[0].unionByName(picks[1]))  # at most clean_rows + toxic_rows rows of two numbers
     got = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= longest).join(sample, "doc_id").select("doc_id", "text", "y").collect()
     total = sum(share.values())
-    return fit_texts([(r["doc_id"], r["text"], r["y"]) for r in got], (share.get(0, 0) / total, share.get(1, 0) / total))
+    rows = [(r["doc_id"], r["text"], r["y"]) for r in got]
+    del got
+    model = fit_texts(rows, (share.get(0, 0) / total, share.get(1, 0) / total))
+    del rows
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", score_col: str = "score", evidence_col: str = "evidence") -> DataFrame:
