@@ -186,8 +186,7 @@ def _visit(rows: DataFrame, ids: np.ndarray, q: np.ndarray, lsh: PStableHash, ra
 def _complete(rows: DataFrame, found: DataFrame, shared, k: int, schema: str) -> DataFrame:
     """Queries that met fewer than k candidates in all are searched exactly: a second visit for them alone."""
     spark = rows.sparkSession
-    common.checkpoint_dir(spark)
-    found = found.checkpoint()
+    found = common.cut(found)
     counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
     ids, q, _, _ = shared.value
     short = np.array([i for i in range(len(ids)) if counts.get(int(ids[i]), 0) < k], dtype=np.int64)

@@ -94,3 +94,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written once to the shared checkpoint folder and read from there: lineage ends, lost executors cost
+    nothing before it, and the optimizer sees the files' sizes. (``checkpoint()`` runs its last stage twice and keeps the
+    size estimates of the whole past, which grow with every join of a loop.)"""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -42,8 +42,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
 def _report(keyed: DataFrame, benchmark: DataFrame, size: int, share: int, broadcast_windows: int) -> DataFrame:
     spark = keyed.sparkSession
-    common.checkpoint_dir(spark)
-    wins = windows_of(benchmark, size).checkpoint()
+    wins = common.cut(windows_of(benchmark, size))
     n_windows = wins.count()
     small = n_windows <= broadcast_windows
     near = F.broadcast if small else (lambda df: df)
@@ -54,7 +53,7 @@ def _report(keyed: DataFrame, benchmark: DataFrame, size: int, share: int, broad
     rarity = vocabulary.join(seen, "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("n"))
     spread = wins.withColumn("wid", F.xxhash64("w")).select("w", "wid", F.posexplode("w").alias("o", "token")).join(near(rarity), "token")
     prefix = spread.groupBy("w").agg(F.min(F.struct("n", "token", "o")).alias("r"))
-    prefix = prefix.where(F.col("r.n") > 0).select(F.col("r.token").alias("token"), F.col("r.o").alias("o"), F.size("w").alias("len"), F.array_join("w", " ").alias("wt"), "w").checkpoint()
+    prefix = common.cut(prefix.where(F.col("r.n") > 0).select(F.col("r.token").alias("token"), F.col("r.o").alias("o"), F.size("w").alias("len"), F.array_join("w", " ").alias("wt"), "w"))
     place = keyed.select("d", "h", common.words_of(F.col("t")).alias("ws")).select("d", "h", "ws", F.posexplode("ws").alias("p", "token"))
     start = F.col("p") - F.col("o")
     hits = place.join(near(prefix.drop("w")), "token").where((start >= 0) & (start + F.col("len") <= F.size("ws")))
@@ -80,5 +79,5 @@ def _report(keyed: DataFrame, benchmark: DataFrame, size: int, share: int, broad
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """The document rows that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, size, share).where("contaminated").select(F.col("doc_id").alias("__bd"), F.col("text_key").alias("__bh")).distinct().checkpoint()
+    bad = common.cut(contamination(docs, benchmark, size, share).where("contaminated").select(F.col("doc_id").alias("__bd"), F.col("text_key").alias("__bh")).distinct())
     return docs.join(common.near(bad), docs["doc_id"].eqNullSafe(F.col("__bd")) & (F.xxhash64(docs["text"]) == F.col("__bh")), "left_anti")

@@ -197,7 +197,6 @@ def keep_text(found: list[tuple[str, int]], covered: set[int]) -> str:
 def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000, broadcast_rows: int = 200_000) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated (undecided tokens that repeats cover) for every row of pages."""
     spark = pages.sparkSession
-    common.checkpoint_dir(spark)
     common.text_batches(spark)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
@@ -207,7 +206,7 @@ def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000, broadca
             yield pd.DataFrame({"host": [h for h, _ in got], "sk": [stream_key(h, s) for h, s in got], "words": [[w for w, _ in s] for _, s in got], "open": [[i for i, (_, k) in enumerate(s) if k == OPEN] for _, s in got]})
 
     seen = rows.select("host", "html").mapInPandas(streams, "host string, sk binary, words array<string>, open array<int>")
-    seen = seen.dropDuplicates(["host", "sk"]).checkpoint()
+    seen = common.cut(seen.dropDuplicates(["host", "sk"]))
     shards = seen.groupBy("host").agg(F.ceil(F.sum(F.size("words")) / shard_tokens).alias("shards"), F.sum(F.size("open")).alias("undecided")).where("undecided > 0")
     dealt = seen.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("sk"), F.col("shards")))
 
@@ -226,10 +225,10 @@ def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000, broadca
         b = pd.DataFrame({"host": host, "key": key[t], "again": again[t], "sk": sk[page[t]], "place": place[t]})
         return pd.concat([a, b]) if p["shards"].iloc[0] > 1 else b
 
-    found = dealt.groupBy("host", "shard").applyInPandas(heads, "host string, key long, again boolean, sk binary, place int").checkpoint()
+    found = common.cut(dealt.groupBy("host", "shard").applyInPandas(heads, "host string, key long, again boolean, sk binary, place int"))
     elsewhere = found.where("sk is null").groupBy("host", "key").agg((F.max("again") | (F.count("*") > 1)).alias("more")).where("more").select("host", "key", "more")
     hit = found.where("sk is not null").join(elsewhere, ["host", "key"], "left").where(F.col("again") | F.coalesce("more", F.lit(False)))
-    marks = hit.groupBy("sk").agg(F.collect_set("place").alias("places")).checkpoint()
+    marks = common.cut(hit.groupBy("sk").agg(F.collect_set("place").alias("places")))
     marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
 
     def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,7 +44,6 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict[str, floa
     """cells (margins, mass) with a ``weight`` each, summing to 1. Margins without targets get their natural shares to
     the power ``temper``."""
     spark = cells.sparkSession
-    common.checkpoint_dir(spark)
     out = cells
     whole = W.partitionBy(F.lit(1))
     for m in margins:
@@ -60,13 +59,13 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict[str, floa
     for m in margins:
         total = F.sum(F.when(F.col(f"__one_{m}") & (F.col("mass") > 0), F.col(f"__raw_{m}"))).over(whole)
         out = out.withColumn(f"__aim_{m}", F.col(f"__raw_{m}") / total)
-    out = out.select(*margins, "mass", *[f"__aim_{m}" for m in margins], (F.col("mass") / F.sum("mass").over(whole)).alias("weight")).coalesce(1).checkpoint()
+    out = common.cut(out.select(*margins, "mass", *[f"__aim_{m}" for m in margins], (F.col("mass") / F.sum("mass").over(whole)).alias("weight")).coalesce(1))
     for r in range(rounds):
         for m in margins:
             there = F.sum("weight").over(W.partitionBy(m))
             out = out.withColumn("weight", F.when(there > 0, F.col("weight") * F.col(f"__aim_{m}") / there).otherwise(F.lit(0.0)))
         if r % 4 == 3:
-            out = out.coalesce(1).checkpoint()  # cuts the lineage; the table holds cells, not documents
+            out = common.cut(out.coalesce(1))  # cuts the lineage; the table holds cells, not documents
     return out.select(*margins, "mass", "weight")
 
 
@@ -98,7 +97,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     )
     margins = ["source", "lang", "topic"]
     cells = rows.groupBy(F.col(s).alias("source"), F.col(g).alias("lang"), F.col(t).alias("topic")).agg(F.sum("n_tokens").alias("mass"))
-    fitted = calibrate(rake(cells, margins, targets, temper, rounds), margins, budget).coalesce(1).checkpoint()
+    fitted = common.cut(calibrate(rake(cells, margins, targets, temper, rounds), margins, budget).coalesce(1))
     side = fitted.select(F.col("source").alias("__cs"), F.col("lang").alias("__cg"), F.col("topic").alias("__ct"), F.col("mass").alias("__cm"), F.col("weight").alias("__cw"), "prob")
     on = (F.col(s) == F.col("__cs")) & (F.col(g) == F.col("__cg")) & (F.col(t) == F.col("__ct"))
     if fitted.count() <= broadcast_cells:

@@ -5,8 +5,7 @@ others follow it. Texts of at least ``threshold`` Jaccard similarity on sets of
 linked: bands of signatures bring candidates together, and a candidate is accepted only by its exact
 similarity. In a bucket each text is compared with one representative, never with all: after the classes
 are known, buckets that still hold several classes are compared again under another representative, until
-a round finds no new link. Classes are the components of the links, found by joins over checkpointed
-tables.
+a round finds no new link. Classes are the components of the links, found by joins over written tables.
 
 Defined cases: null texts and texts without a word are never linked, unless the same non-empty string
 repeats; a text of fewer than ``n`` words is one shingle; repeated rows fall in one class; rows with a null id
@@ -84,7 +83,6 @@ def text_keys(texts: list[str], n: int, bands: int, rows: int, weighted: bool) -
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, max_rounds: int = 50) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), for every row of the table."""
     spark = docs.sparkSession
-    common.checkpoint_dir(spark)
     common.text_batches(spark)
 
     # 1. one pass over the texts: what equal texts share, and the band keys
@@ -99,14 +97,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
             yield pd.DataFrame({"id": p["id"].astype("Int64"), "fp": fp, "keys": out})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    prints = ids.mapInPandas(keys, "id long, fp binary, keys array<long>").checkpoint()
+    prints = common.cut(ids.mapInPandas(keys, "id long, fp binary, keys array<long>"))
 
     # 2. equal texts: the smallest id stands for all; its band keys are the text's
     known = prints.where(F.col("fp").isNotNull() & F.col("id").isNotNull())
-    first = known.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")).checkpoint()
+    first = common.cut(known.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")))
     entries = first.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    entries = entries.join(shared, "key", "left_semi").distinct().checkpoint()
+    entries = common.cut(entries.join(shared, "key", "left_semi").distinct())
 
     # 3. links, round by round
     classes = None
@@ -116,14 +114,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
         pairs = _candidates(placed if classes is not None else placed.withColumn("cls", F.col("id")), at)
         if links is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
+        pairs = common.cut(pairs)
         if pairs.isEmpty():
             break
-        tried = pairs if links is None else tried.unionByName(pairs).checkpoint()
-        fresh = verified(ids, pairs, threshold, n).checkpoint()
+        tried = pairs if links is None else tried.unionByName(pairs)
+        fresh = common.cut(verified(ids, pairs, threshold, n))
         if links is not None and fresh.isEmpty():
             break
-        links = fresh if links is None else links.unionByName(fresh).checkpoint()
+        links = fresh if links is None else links.unionByName(fresh)
         classes = components(links)
     out = prints.select("id", "fp").join(first.select("fp", "rep"), "fp", "left").withColumn("node", F.coalesce("rep", "id"))
     if classes is None:
@@ -142,7 +140,7 @@ def _candidates(placed: DataFrame, at: int) -> DataFrame:
 
 def verified(ids: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
-    need = common.near(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint())
+    need = common.near(common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
 
     @F.pandas_udf("array<long>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -159,13 +157,13 @@ def verified(ids: DataFrame, pairs: DataFrame, threshold: float, n: int) -> Data
 
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """id, cls: the smallest id that links reach. Each round takes the smallest label around and then the label's own label."""
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    label = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id").checkpoint()
+    edges = common.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    label = common.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id"))
     for _ in range(max_rounds):
         near = edges.join(label.select(F.col("id").alias("v"), F.col("cls").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
         step = label.join(near, label["id"] == near["u"], "left").select("id", F.col("cls").alias("old"), F.least("cls", F.coalesce("c", "cls")).alias("cls"))
         jump = step.select(F.col("id").alias("cls"), F.col("cls").alias("further"))
-        moved = step.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("further", "cls")).alias("cls")).checkpoint()
+        moved = common.cut(step.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("further", "cls")).alias("cls")))
         label = moved.select("id", "cls")
         if moved.where("old <> cls").isEmpty():
             break
@@ -176,9 +174,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The table with one row of each class: that of the smallest id."""
     classes = near_duplicates(docs, **options)
     (gone,) = common.fresh(docs, "gone")
-    dropped = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone)).distinct().checkpoint()
+    dropped = common.cut(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone)).distinct())
     kept = docs.join(common.near(dropped), docs["doc_id"] == F.col(gone), "left_anti")
-    several = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1").select(F.col("doc_id").alias(gone)).distinct().checkpoint()
+    several = common.cut(docs.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1").select(F.col("doc_id").alias(gone)).distinct())
     if several.isEmpty():
         return kept
     # rows that repeat an id and its text: one of them stays
