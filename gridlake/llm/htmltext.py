@@ -223,7 +223,7 @@ def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000, broadca
         host, sk = p["host"].iloc[0], p["sk"].to_numpy(dtype=object)
         a = pd.DataFrame({"host": host, "key": one, "again": again[at], "sk": None, "place": -1})
         b = pd.DataFrame({"host": host, "key": key[t], "again": again[t], "sk": sk[page[t]], "place": place[t]})
-        return pd.concat([a, b]) if p["shards"].iloc[0] > 1 else b
+        return (pd.concat([a, b]) if p["shards"].iloc[0] > 1 else b).astype({"host": object})
 
     found = common.cut(dealt.groupBy("host", "shard").applyInPandas(heads, "host string, key long, again boolean, sk binary, place int"))
     elsewhere = found.where("sk is null").groupBy("host", "key").agg((F.max("again") | (F.count("*") > 1)).alias("more")).where("more").select("host", "key", "more")
