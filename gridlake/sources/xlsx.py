@@ -226,10 +226,10 @@ def read(spark: SparkSession, path: str, sheet: str | int | None = None, limit:
                 for c in parse(data, sheet, limit):
                     held.append({"workbook": name} | c)
                     if len(held) == 10_000:
-                        yield pd.DataFrame(held).reindex(columns=_COLUMNS)
+                        yield pd.DataFrame([[c.get(k) for k in _COLUMNS] for c in held], columns=_COLUMNS, dtype=object)
                         held = []
                 if held:
-                    yield pd.DataFrame(held).reindex(columns=_COLUMNS)
+                    yield pd.DataFrame([[c.get(k) for k in _COLUMNS] for c in held], columns=_COLUMNS, dtype=object)
 
     return files.mapInPandas(cells, CELLS)
 
