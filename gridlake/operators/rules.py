@@ -141,6 +141,21 @@ def text_rule(c: Column, type_: str, text: str) -> Column:
     return {"containsText": F.contains(low, F.lit(t)), "notContainsText": ~F.contains(low, F.lit(t)), "beginsWith": low.startswith(t), "endsWith": low.endswith(t)}[type_]
 
 
+def time_period(t: Column, period: str, as_of: Column) -> Column:
+    """Whether a date falls in a named period around ``as_of``. Weeks begin on Sunday; the last seven days include today."""
+    day, today = t.cast("date"), as_of.cast("date")
+    week = lambda d: F.date_add(F.trunc(F.date_add(d, 1), "week"), -1)
+    month = lambda k: F.trunc(day, "month") == F.trunc(F.add_months(today, k), "month")
+    periods = {
+        "today": day == today, "yesterday": day == F.date_add(today, -1), "tomorrow": day == F.date_add(today, 1), "last7Days": day.between(F.date_add(today, -6), today),
+        "thisWeek": week(day) == week(today), "lastWeek": week(day) == F.date_add(week(today), -7), "nextWeek": week(day) == F.date_add(week(today), 7),
+        "thisMonth": month(0), "lastMonth": month(-1), "nextMonth": month(1),
+    }
+    if period not in periods:
+        raise AuthoringError(f"unknown period {period!r}")
+    return F.coalesce(periods[period], F.lit(False))
+
+
 def color_scale(df: DataFrame, column: str, points: list[tuple[str, float | None]]) -> DataFrame:
     """Adds ``position``: 0 at the first anchor to len(points) - 1 at the last, linear between. Anchors: min, max, num, percent, percentile."""
     x = F.col(column).cast("double")

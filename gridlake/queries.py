@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.functions import address, dates, values
-from gridlake.operators import extent, grid, pivot, rules, tables
+from gridlake.functions import address, colors, dates, values
+from gridlake.operators import extent, grid, outline, pivot, rules, tables
 from gridlake.plans import cells as plan
 from gridlake.sources import csvgrid
 
@@ -200,6 +200,29 @@ def csv_lines(spark, d):
     return csvgrid.lines(cells)
 
 
+@query("""WITH r AS (SELECT o_orderkey AS n, CAST(o_custkey % 3 AS INTEGER) AS lv, o_totalprice < 250000 AS h FROM orders),
+d AS (SELECT n, h, unnest(range(0, lv)) AS l FROM r), i AS (SELECT *, n - row_number() OVER (PARTITION BY l ORDER BY n) AS g FROM d),
+u AS (SELECT l, max(n) + 1 AS beside FROM i GROUP BY l, g HAVING bool_and(h)) SELECT n AS o_orderkey, beside IS NOT NULL AS is_collapsed FROM r LEFT JOIN u ON n = beside AND lv = l""")
+def outline_collapsed(spark, d):
+    rows = T(spark, d, "orders").select(F.lit(1).alias("sheet_id"), F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 3).cast("int").alias("outline_level"), (F.col("o_totalprice") < 250000).alias("hidden"))
+    return outline.collapsed(rows, ["sheet_id"]).select(F.col("row").alias("o_orderkey"), "is_collapsed")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-07' AND DATE '1996-03-13' AS last7, date_trunc('week', o_orderdate + INTERVAL 1 DAY) = date_trunc('week', DATE '1996-03-06' + INTERVAL 1 DAY) AS last_week,
+date_trunc('month', o_orderdate) = DATE '1996-04-01' AS next_month FROM orders""")
+def cf_time_period(spark, d):
+    t, as_of = F.col("o_orderdate"), F.lit("1996-03-13")
+    return T(spark, d, "orders").select("o_orderkey", *[rules.time_period(t, p, as_of).alias(n) for p, n in (("last7Days", "last7"), ("lastWeek", "last_week"), ("nextMonth", "next_month"))])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CASE p_size % 3 WHEN 0 THEN 'FFFFFFFF' WHEN 1 THEN 'FF000000' ELSE 'FFE7E6E6' END ELSE 'FFFF0000' END AS argb FROM part")
+def color_references(spark, d):
+    size = F.col("p_size")
+    theme = F.when(size % 2 == 0, (size % 3).cast("int"))
+    none = F.lit(None)
+    return T(spark, d, "part").select("p_partkey", colors.resolved(none.cast("string"), theme, F.lit(10), none.cast("double")).alias("argb"))
+
+
 def queries():
     return dict(Q)
 

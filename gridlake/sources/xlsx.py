@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridlake.errors import MalformedInput, UnsupportedFormat
 from gridlake.functions.dates import BUILTIN_FORMATS
+from gridlake.functions.formula import unmangle
 from gridlake.functions.values import ERRORS
 from gridlake.session import ship_package
 
@@ -245,6 +246,72 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(listed, "workbook string, sheet_id int, sheet string, state string")
 
 
+def names_of(p: Package) -> list[tuple]:
+    """(name, refers_to, scope, hidden, comment); the name that a sheet's filter brings is no name of the user's."""
+    rows = sheets_of(p)
+    root = p.rels("/_rels")
+    book = next((t for t in root.values() if t.endswith("workbook.xml")), "xl/workbook.xml")
+    out = []
+    for ev, el in p.events(book):
+        if ev == "end" and _local(el) == "definedName" and el.get("name") not in (None, "_xlnm._FilterDatabase"):
+            at = el.get("localSheetId", "")
+            scope = rows[int(at)][1] if at.isdigit() and int(at) < len(rows) else None
+            out.append((el.get("name"), unmangle(el.text or ""), scope, el.get("hidden") in ("1", "true"), el.get("comment")))
+    return out
+
+
+def merges_of(p: Package) -> list[tuple]:
+    """(sheet_id, idx, top, left, bottom, right), by sheet and place in the part; refs that are no rectangle are left out."""
+    out = []
+    for number, _, _, part in sheets_of(p):
+        at = 0
+        for ev, el in p.events(part) if part else ():
+            if ev == "end" and _local(el) == "mergeCell":
+                ends = [_REF.match(x) for x in (el.get("ref") or "").replace("$", "").split(":")]
+                if len(ends) == 2 and all(ends):
+                    rows, cols = sorted(int(m[2]) for m in ends), sorted(_column(m[1]) for m in ends)
+                    out.append((number, at, rows[0], cols[0], rows[1], cols[1]))
+                    at += 1
+    return out
+
+
+def properties_of(p: Package) -> list[tuple]:
+    """(property, value): title, creator, lastModifiedBy, created and modified of the core part, Company of the extended one."""
+    wanted = (("docProps/core.xml", {"title", "creator", "lastModifiedBy", "created", "modified"}), ("docProps/app.xml", {"Company"}))
+    return [(_local(el)[0].lower() + _local(el)[1:], el.text or "") for part, names in wanted for ev, el in p.events(part) if ev == "end" and _local(el) in names]
+
+
+def _column(letters: str) -> int:
+    n = 0
+    for ch in letters:
+        n = n * 26 + ord(ch) - 64
+    return n
+
+
+def _listed(spark: SparkSession, path: str, of, schema: str) -> DataFrame:
+    """What a function finds in each package, a row each, with the package's path first."""
+    ship_package(spark)
+    names = ["workbook"] + [c.split()[0] for c in schema.split(", ")]
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([(n, *r) for n, d in zip(p["path"], p["content"]) for r in of(Package(d))], columns=names, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"workbook string, {schema}")
+
+
+def defined_names(spark: SparkSession, path: str) -> DataFrame:
+    return _listed(spark, path, names_of, "name string, refers_to string, scope string, hidden boolean, comment string")
+
+
+def merges(spark: SparkSession, path: str) -> DataFrame:
+    return _listed(spark, path, merges_of, "sheet_id int, idx int, top int, left int, bottom int, right int")
+
+
+def workbook_props(spark: SparkSession, path: str) -> DataFrame:
+    return _listed(spark, path, properties_of, "property string, value string")
+
+
 # --- sink ---
 
 def _xml(column: str):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gridlake import queries as own
 from gridlake.errors import AuthoringError, GridlakeError, MalformedInput, UnsupportedFormat
-from gridlake.functions import address, dates, formula, values
-from gridlake.operators import grid, pivot, rules, tables
+from gridlake.functions import address, colors, dates, formula, values
+from gridlake.operators import grid, outline, pivot, rules, tables
 from gridlake.sources import csvgrid, xlsx
 
 SF = "/root/testdata/sf0.001"
@@ -138,3 +138,44 @@ def test_pivot_errors(spark):
 def test_precedence(spark):
     m = spark.createDataFrame([(1, 1, 1, False), (1, 1, 2, True), (1, 1, 3, False)], "row int, col int, priority int, stop_if_true boolean")
     assert [r["priority"] for r in rules.precedence(m, ["row", "col"]).orderBy("priority").collect()] == [1, 2]
+
+
+def test_outline(spark):
+    rows = spark.createDataFrame([(1, 1, 1, True), (1, 2, 2, True), (1, 3, 0, False), (1, 4, 1, False), (1, 5, 0, None), (1, 7, 2, True), (1, 9, 0, False), (2, 1, None, None), (2, 2, 1, True)], "sheet_id int, row int, outline_level int, hidden boolean")
+    after = {(r["sheet_id"], r["row"]) for r in outline.collapsed(rows, ["sheet_id"]).where("is_collapsed").collect()}
+    before = {(r["sheet_id"], r["row"]) for r in outline.collapsed(rows, ["sheet_id"], summary_after=False).where("is_collapsed").collect()}
+    assert after == {(1, 3)} and before == {(1, 1), (2, 1)}
+    assert {r["sheet_id"]: r["max_level"] for r in outline.deepest(rows, ["sheet_id"]).collect()} == {1: 2, 2: 1}
+    assert outline.collapsed(rows.limit(0), ["sheet_id"]).count() == 0
+
+
+def test_colors(spark):
+    import colorsys
+
+    rows = [("FF4472C4", None, None, 0.4), ("#ed7d31", None, None, -0.25), ("80808080", None, None, 0.5), (None, 1, None, 0.35), (None, 0, None, -0.5), (None, None, 64, None), (None, None, 22, None), (None, 12, None, None), ("zz", 1, 1, None), (None, None, -1, None)]
+    got = [r["c"] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, argb string, theme int, indexed int, tint double").withColumn("c", colors.resolved(F.col("argb"), F.col("theme"), F.col("indexed"), F.col("tint"))).orderBy("i").collect()]
+
+    def slow(argb, tint):
+        h, l, s = colorsys.rgb_to_hls(*[int(argb[k : k + 2], 16) / 255 for k in (2, 4, 6)])
+        l = l * (1 + tint) if tint < 0 else l * (1 - tint) + tint
+        return argb[:2] + "".join(f"{int(x * 255 + 0.5):02X}" for x in colorsys.hls_to_rgb(h, l, s))
+
+    assert got == [slow("FF4472C4", 0.4), slow("FFED7D31", -0.25), slow("80808080", 0.5), slow("FF000000", 0.35), slow("FFFFFFFF", -0.5), None, "FFC0C0C0", None, None, None]
+    assert len(colors.PALETTE) == 64
+
+
+def test_package_metadata(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 1, "number", 1.0, None, None)], "row int, col int, kind string, num double, str string, ts timestamp_ntz")
+    xlsx.write(cells, str(tmp_path / "a.xlsx"), "One")
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as a, zipfile.ZipFile(tmp_path / "b.xlsx", "w") as b:
+        for n in a.namelist():
+            x = a.read(n).decode()
+            x = x.replace("</sheets>", '</sheets><definedNames><definedName name="N" localSheetId="0" hidden="1">_xlfn.XLOOKUP(One!$A$1)</definedName><definedName name="M" localSheetId="7" comment="c">One!$B$2</definedName><definedName name="_xlnm._FilterDatabase">One!A1</definedName></definedNames>')
+            b.writestr(n, x.replace("</sheetData>", '</sheetData><mergeCells><mergeCell ref="B2:C4"/><mergeCell ref="A:A"/><mergeCell ref="E9:D8"/></mergeCells>'))
+        b.writestr("docProps/core.xml", '<c xmlns:dc="d"><dc:title>T</dc:title><dc:creator>me</dc:creator><dc:other>x</dc:other></c>')
+        b.writestr("docProps/app.xml", "<p><Application>a</Application><Company>Co</Company></p>")
+    path = str(tmp_path / "b.xlsx")
+    assert {tuple(r)[1:] for r in xlsx.defined_names(spark, path).collect()} == {("N", "XLOOKUP(One!$A$1)", "One", True, None), ("M", "One!$B$2", None, False, "c")}
+    assert [tuple(r)[1:] for r in xlsx.merges(spark, path).orderBy("idx").collect()] == [(1, 0, 2, 2, 4, 3), (1, 1, 8, 4, 9, 5)]
+    assert {tuple(r)[1:] for r in xlsx.workbook_props(spark, path).collect()} == {("title", "T"), ("creator", "me"), ("company", "Co")}
+    assert xlsx.merges(spark, str(tmp_path / "a.xlsx")).count() == 0
