@@ -3,9 +3,13 @@
 Documents with equal word sequences are one text; only the first of each takes part further on, the
 others follow it. Texts of at least ``threshold`` Jaccard similarity on sets of ``n``-word shingles are
 linked: bands of signatures bring candidates together, and a candidate is accepted only by its exact
-similarity. In a bucket each text is compared with one representative, never with all: after the classes
-are known, buckets that still hold several classes are compared again under another representative, until
-a round finds no new link. Classes are the components of the links, found by joins over written tables.
+similarity. Texts of a bucket are compared with leaders, one in the first round and ``LEADERS`` in each further
+one, never each with each: that joins large groups by as many comparisons as they have members. Leaders then
+leave their buckets, as they have met all others, and only buckets that still hold several classes go on. As
+soon as the comparisons left between different classes are at most ``FEW`` for each entry of the buckets, all of
+them are made, so that no candidate is left out. While more are left (a large group of texts that are alike, but
+not alike enough, would need the square of its size), rounds of leaders follow as long as they find links.
+Classes are the components of the links, found by joins over written tables.
 
 Defined cases: null texts and texts without a word are never linked, unless the same non-empty string
 repeats; a text of fewer than ``n`` words is one shingle; repeated rows fall in one class; rows with a null id
@@ -26,6 +30,9 @@ from . import common
 from . import dartminhash as dart
 
 BANDS, ROWS = 42, 7
+#: Comparisons for each entry of the buckets up to which those between different classes are made without a leader.
+FEW = 2
+LEADERS = 4
 _CHARS = 150_000
 
 
@@ -60,9 +67,9 @@ def _pieces(texts: list[str], size: int = _CHARS) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def text_keys(texts: list[str], n: int, bands: int, rows: int, weighted: bool) -> np.ndarray:
-    """Band keys of each text. Texts without words share no dart: the caller's fingerprint is all that joins them."""
-    out = np.zeros((len(texts), bands), dtype=np.int64)
+def text_keys(texts: list[str], n: int, bands: int, rows: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and number of different shingles of each text. Texts without words share no dart: the caller's fingerprint is all that joins them."""
+    out, sizes = np.zeros((len(texts), bands), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
     for s in _pieces(texts):
         el, we, ow = [], [], []
         part = texts[s]
@@ -73,14 +80,15 @@ def text_keys(texts: list[str], n: int, bands: int, rows: int, weighted: bool) -
             ow.append(np.full(u.size, i, dtype=np.int64))
         sig = dart.signatures(np.concatenate(el), np.concatenate(we), np.concatenate(ow), len(part), bands * rows)
         out[s] = dart.band_keys(sig, bands, rows)
-        bare = np.bincount(np.concatenate(ow), minlength=len(part)) == 0
+        sizes[s] = np.bincount(np.concatenate(ow), minlength=len(part))
+        bare = sizes[s] == 0
         if bare.any():  # keys of their own, by the string
             for i in np.flatnonzero(bare):
                 out[s.start + i] = dart.mix(np.arange(bands, dtype=np.uint64) + np.uint64(hash_of(part[i]))).view(np.int64)
-    return out
+    return out, sizes
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, max_rounds: int = 50) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), for every row of the table."""
     spark = docs.sparkSession
     common.text_batches(spark)
@@ -92,37 +100,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
             fp = fingerprints(texts)
             with_words = [i for i, f in enumerate(fp) if f is not None]
             out: list = [None] * len(texts)
-            for i, k in zip(with_words, text_keys([texts[i] for i in with_words], n, bands, rows, weighted)):
-                out[i] = k
-            yield pd.DataFrame({"id": p["id"].astype("Int64"), "fp": fp, "keys": out})
+            size = np.zeros(len(texts), dtype=np.int64)
+            for i, k, m in zip(with_words, *text_keys([texts[i] for i in with_words], n, bands, rows, weighted)):
+                out[i], size[i] = k, m
+            yield pd.DataFrame({"id": p["id"].astype("Int64"), "fp": fp, "size": size, "keys": out})
 
     ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    prints = common.cut(ids.mapInPandas(keys, "id long, fp binary, keys array<long>"))
+    prints = common.cut(ids.mapInPandas(keys, "id long, fp binary, size long, keys array<long>"))
 
     # 2. equal texts: the smallest id stands for all; its band keys are the text's
     known = prints.where(F.col("fp").isNotNull() & F.col("id").isNotNull())
-    first = common.cut(known.groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")))
-    entries = first.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
+    first = common.cut(known.groupBy("fp").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.min_by("keys", "id").alias("keys")))
+    entries = first.select(F.col("rep").alias("id"), "size", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = common.cut(entries.join(shared, "key", "left_semi").distinct())
 
-    # 3. links, round by round
-    classes = None
-    links = None
-    for at in range(max_rounds):
-        placed = entries if classes is None else entries.join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
-        pairs = _candidates(placed if classes is not None else placed.withColumn("cls", F.col("id")), at)
-        if links is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.cut(pairs)
-        if pairs.isEmpty():
+    # 3. links: with leaders, then whatever is left
+    count = entries.count()
+    classes = links = tried = None
+    rest, found, at = False, True, 0
+    while not rest:
+        placed = entries.withColumn("cls", F.col("id")) if classes is None else entries.join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
+        placed = common.cut(_sized(_open(placed, range(at, at + (LEADERS if at else 1))), count))
+        if placed.isEmpty():
             break
-        tried = pairs if links is None else tried.unionByName(pairs)
-        fresh = common.cut(verified(ids, pairs, threshold, n))
-        if links is not None and fresh.isEmpty():
+        rest = at > 0 and _open_pairs(placed) <= FEW * count
+        if not rest and not found:
             break
-        links = fresh if links is None else links.unionByName(fresh)
-        classes = components(links)
+        pairs = _between_classes(placed) if rest else _with_leaders(placed)
+        pairs = pairs.where((F.least("m", "k") >= threshold * F.greatest("m", "k")) & (F.col("m") > 0) & (F.col("k") > 0)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = common.cut(_sized(pairs, FEW * count))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        entries = placed.where(~F.array_contains("r.id", F.col("id"))).select("id", "size", "key")
+        fresh = common.cut(verified(ids, pairs, threshold, n))
+        found = not fresh.isEmpty()
+        if found:
+            links = fresh if links is None else links.unionByName(fresh)
+            classes = components(links)
+        at += LEADERS if at else 1
     out = prints.select("id", "fp").join(first.select("fp", "rep"), "fp", "left").withColumn("node", F.coalesce("rep", "id"))
     if classes is None:
         return out.select(F.col("id").alias("doc_id"), F.col("node").alias("class_id"))
@@ -130,25 +147,56 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
     return out.join(named, "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("cls", "node").alias("class_id"))
 
 
-def _candidates(placed: DataFrame, at: int) -> DataFrame:
-    """Pairs a < b: each text of a bucket with the bucket's representative of this round, if their classes differ."""
-    order = F.struct(F.xxhash64("id", F.lit(at)).alias("o"), "id", "cls")
-    heads = placed.groupBy("key").agg(F.min(order).alias("r"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", F.col("r.id").alias("rid"), F.col("r.cls").alias("rcls"))
-    met = placed.join(heads, "key").where(F.col("cls") != F.col("rcls"))
-    return met.select(F.least("id", "rid").alias("a"), F.greatest("id", "rid").alias("b")).distinct()
+def _sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """The table in as many tasks as its (at most) ``rows`` narrow rows need, not in as many as a shuffle has."""
+    return df.coalesce(max(12, rows // each))
 
 
-def verified(ids: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
-    need = common.near(common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+def _open(placed: DataFrame, orders: range) -> DataFrame:
+    """Entries of the buckets that hold several classes, with the bucket's leaders: the first by each of some orders
+    of all texts, so that the buckets of a group share theirs."""
+    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(o)).alias("o"), "id", "cls", "size")) for o in orders]
+    heads = placed.groupBy("key").agg(F.array_distinct(F.transform(F.array(*firsts), lambda r: F.struct(r.id.alias("id"), r.cls.alias("cls"), r.size.alias("size")))).alias("r"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    return placed.join(heads.where("lo < hi").select("key", "r"), "key")
+
+
+def _with_leaders(placed: DataFrame) -> DataFrame:
+    """Each entry with the leaders that are of another class."""
+    met = placed.select(F.col("id").alias("u"), F.col("size").alias("m"), F.explode(F.filter("r", lambda r: r.cls != F.col("cls"))).alias("l"))
+    return met.select("u", "m", F.col("l.id").alias("v"), F.col("l.size").alias("k"))
+
+
+def _open_pairs(placed: DataFrame) -> int:
+    """How many pairs of entries of different classes the buckets hold."""
+    c = placed.groupBy("key", "cls").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return int(c.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _between_classes(placed: DataFrame) -> DataFrame:
+    """All pairs of entries of different classes: first the pairs of classes, then their members, so that pairs
+    within a class are never made. The caller has checked how many there are."""
+    kinds = placed.select("key", "cls").distinct()
+    both = kinds.withColumnRenamed("cls", "x").join(kinds.withColumnRenamed("cls", "y"), "key").where("x < y")
+    left = placed.select("key", F.col("cls").alias("x"), F.col("id").alias("u"), F.col("size").alias("m"))
+    right = placed.select("key", F.col("cls").alias("y"), F.col("id").alias("v"), F.col("size").alias("k"))
+    return both.join(left, ["key", "x"]).join(right, ["key", "y"])
+
+
+def sets_of(ids: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """id, s: the shingle set of each row whose id is asked for. Several rows may carry one id: each gives a set."""
+    need = common.near(common.cut(need.distinct()))
 
     @F.pandas_udf("array<long>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([np.unique(dart.shingles(dart.word_hashes(t), n)).view(np.int64) for t in s])
 
-    # several rows may carry one id: any of them will do, the first by text
-    texts = ids.join(need, "id", "left_semi").where(F.col("t").isNotNull()).select("id", sets("t").alias("s"))
+    return ids.join(need, "id", "left_semi").where(F.col("t").isNotNull()).select("id", sets("t").alias("s"))
+
+
+def verified(ids: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The pairs whose exact similarity reaches the threshold."""
+    texts = sets_of(ids, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
     sa, sb = texts.select(F.col("id").alias("a"), F.col("s").alias("x")), texts.select(F.col("id").alias("b"), F.col("s").alias("y"))
     both = pairs.join(sa, "a").join(sb, "b")
     common_size = F.size(F.array_intersect("x", "y"))
@@ -157,13 +205,14 @@ def verified(ids: DataFrame, pairs: DataFrame, threshold: float, n: int) -> Data
 
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """id, cls: the smallest id that links reach. Each round takes the smallest label around and then the label's own label."""
-    edges = common.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    label = common.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id"))
+    count = links.count()
+    edges = common.cut(_sized(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), count))
+    label = common.cut(_sized(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id"), count))
     for _ in range(max_rounds):
         near = edges.join(label.select(F.col("id").alias("v"), F.col("cls").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
         step = label.join(near, label["id"] == near["u"], "left").select("id", F.col("cls").alias("old"), F.least("cls", F.coalesce("c", "cls")).alias("cls"))
         jump = step.select(F.col("id").alias("cls"), F.col("cls").alias("further"))
-        moved = common.cut(step.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("further", "cls")).alias("cls")))
+        moved = common.cut(_sized(step.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("further", "cls")).alias("cls")), count))
         label = moved.select("id", "cls")
         if moved.where("old <> cls").isEmpty():
             break

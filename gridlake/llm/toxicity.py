@@ -43,7 +43,7 @@ def word_counts(text: str | None) -> Counter:
 def families(texts: list[str], bands: int = 12, rows: int = 4) -> list[int]:
     """Examples that are copies of each other, near copies included, count as one when terms are tested:
     else a text that is copied often would make all its words telling."""
-    keys = neardup.text_keys(texts, 5, bands, rows, False) if texts else []
+    keys = neardup.text_keys(texts, 5, bands, rows, False)[0] if texts else []
     parent = list(range(len(texts)))
 
     def root(i: int) -> int:
