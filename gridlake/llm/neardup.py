@@ -3,12 +3,13 @@
 Documents with equal word sequences are one text; only the first of each takes part further on, the
 others follow it. Texts of at least ``threshold`` Jaccard similarity on sets of ``n``-word shingles are
 linked: bands of signatures bring candidates together, and a candidate is accepted only by its exact
-similarity. Texts of a bucket are compared with leaders, one in the first round and ``LEADERS`` in each further
-one, never each with each: that joins large groups by as many comparisons as they have members. Leaders then
-leave their buckets, as they have met all others, and only buckets that still hold several classes go on. As
-soon as the comparisons left between different classes are at most ``FEW`` for each entry of the buckets, all of
-them are made, so that no candidate is left out. While more are left (a large group of texts that are alike, but
-not alike enough, would need the square of its size), rounds of leaders follow as long as they find links.
+similarity. Texts of a bucket are compared with leaders out of the bucket's largest class, one in the first
+round, then four, then ``LEADERS``, never each with each: that joins large groups by as many comparisons as
+they have members. Leaders then leave their buckets, as they have met all others, and only buckets that still
+hold several classes go on. As soon as the comparisons left between different classes are at most ``FEW`` for
+each entry of the buckets, all of them are made, so that no candidate is left out. While more are left (a large
+group of texts that are alike, but not alike enough, would need the square of its size), that holds for the
+texts outside the largest classes, and rounds of leaders follow as long as they find links.
 Classes are the components of the links, found by joins over written tables.
 
 Defined cases: null texts and texts without a word are never linked, unless the same non-empty string
@@ -32,7 +33,7 @@ from . import dartminhash as dart
 BANDS, ROWS = 42, 7
 #: Comparisons for each entry of the buckets up to which those between different classes are made without a leader.
 FEW = 2
-LEADERS = 4
+LEADERS = 16
 _CHARS = 150_000
 
 
@@ -120,14 +121,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
     classes = links = tried = None
     rest, found, at = False, True, 0
     while not rest:
-        placed = entries.withColumn("cls", F.col("id")) if classes is None else entries.join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
-        placed = common.cut(_sized(_open(placed, range(at, at + (LEADERS if at else 1))), count))
+        if classes is None:
+            named = entries.withColumn("cls", F.col("id"))
+        else:
+            named = common.cut(_sized(entries.join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id")), count))
+        placed = common.cut(_sized(_open(named, min(4**at, LEADERS)), count))
         if placed.isEmpty():
             break
         rest = at > 0 and _open_pairs(placed) <= FEW * count
-        if not rest and not found:
+        if rest:
+            pairs = _between_classes(placed)
+        elif found:
+            pairs, outside = _with_leaders(placed), placed.where("cls <> big")
+            if at > 0 and _open_pairs(outside) <= FEW * count:
+                pairs = pairs.unionByName(_between_classes(outside))
+        else:
             break
-        pairs = _between_classes(placed) if rest else _with_leaders(placed)
         pairs = pairs.where((F.least("m", "k") >= threshold * F.greatest("m", "k")) & (F.col("m") > 0) & (F.col("k") > 0)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -139,7 +148,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
         if found:
             links = fresh if links is None else links.unionByName(fresh)
             classes = components(links)
-        at += LEADERS if at else 1
+        at += 1
     out = prints.select("id", "fp").join(first.select("fp", "rep"), "fp", "left").withColumn("node", F.coalesce("rep", "id"))
     if classes is None:
         return out.select(F.col("id").alias("doc_id"), F.col("node").alias("class_id"))
@@ -152,17 +161,19 @@ def _sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     return df.coalesce(max(12, rows // each))
 
 
-def _open(placed: DataFrame, orders: range) -> DataFrame:
-    """Entries of the buckets that hold several classes, with the bucket's leaders: the first by each of some orders
-    of all texts, so that the buckets of a group share theirs."""
-    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(o)).alias("o"), "id", "cls", "size")) for o in orders]
-    heads = placed.groupBy("key").agg(F.array_distinct(F.transform(F.array(*firsts), lambda r: F.struct(r.id.alias("id"), r.cls.alias("cls"), r.size.alias("size")))).alias("r"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    return placed.join(heads.where("lo < hi").select("key", "r"), "key")
+def _open(named: DataFrame, leaders: int) -> DataFrame:
+    """Entries of the buckets that hold several classes, with the bucket's largest class and leaders out of it: the
+    first by each of some orders of all texts, so that the buckets of a group share theirs."""
+    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(o)).alias("o"), "id", "size")) for o in range(leaders)]
+    kinds = named.groupBy("key", "cls").agg(F.count("*").alias("c"), F.array(*firsts).alias("r"))
+    heads = kinds.groupBy("key").agg(F.max_by(F.struct("cls", "r"), F.struct("c", F.xxhash64("cls"))).alias("top"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("key", F.col("top.cls").alias("big"), F.array_distinct(F.transform("top.r", lambda r: F.struct(r.id.alias("id"), r.size.alias("size")))).alias("r"))
+    return named.join(heads, "key")
 
 
 def _with_leaders(placed: DataFrame) -> DataFrame:
-    """Each entry with the leaders that are of another class."""
-    met = placed.select(F.col("id").alias("u"), F.col("size").alias("m"), F.explode(F.filter("r", lambda r: r.cls != F.col("cls"))).alias("l"))
+    """Each entry outside its bucket's largest class with the leaders."""
+    met = placed.where("cls <> big").select(F.col("id").alias("u"), F.col("size").alias("m"), F.explode("r").alias("l"))
     return met.select("u", "m", F.col("l.id").alias("v"), F.col("l.size").alias("k"))
 
 
