@@ -78,6 +78,15 @@ def test_near_duplicates_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == parent
 
 
+def test_near_duplicate_chain_is_one_class(spark):
+    # each text is like the next ones only: no leader is like all, and no link may be lost
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[4 * i : 4 * i + 120]) for i in range(60)] + ["something else entirely is written here today"]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    first = min(got)
+    assert [k for k, v in got.items() if v != first] == [max(got)]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     k = 512
     a, b = np.arange(60, dtype=np.uint64), np.arange(20, 80, dtype=np.uint64)
