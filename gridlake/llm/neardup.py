@@ -6,10 +6,11 @@ linked: bands of signatures bring candidates together, and a candidate is accept
 similarity. Texts of a bucket are compared with leaders out of the bucket's largest class, one in the first
 round, then four, then ``LEADERS``, never each with each: that joins large groups by as many comparisons as
 they have members. Leaders then leave their buckets, as they have met all others, and only buckets that still
-hold several classes go on. As soon as the comparisons left between different classes are at most ``FEW`` for
-each entry of the buckets, all of them are made, so that no candidate is left out. While more are left (a large
-group of texts that are alike, but not alike enough, would need the square of its size), that holds for the
-texts outside the largest classes, and rounds of leaders follow as long as they find links.
+hold several classes go on, in rounds, as long as leaders find links. Then the pairs left are settled, all of
+them: buckets in which they are at most ``FEW`` for each entry make them one by one, and the texts of larger
+buckets (a group of texts that are alike, but not alike enough, would need the square of its size) meet by a
+prefix join, which leaves out only pairs that cannot reach the threshold. So no candidate is left out, whatever
+else the table holds.
 Classes are the components of the links, found by joins over written tables.
 
 Defined cases: null texts and texts without a word are never linked, unless the same non-empty string
@@ -35,6 +36,8 @@ BANDS, ROWS = 42, 7
 FEW = 2
 LEADERS = 16
 _CHARS = 150_000
+#: Prefix join: counters of how common shingles are (by their low bits), and the logarithmic width of a class of sizes.
+_COUNTERS, _STEP = 1 << 18, 0.05
 
 
 def fingerprints(texts: list[str | None]) -> list[bytes | None]:
@@ -128,15 +131,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
         placed = common.cut(_sized(_open(named, min(4**at, LEADERS)), count))
         if placed.isEmpty():
             break
-        rest = at > 0 and _open_pairs(placed) <= FEW * count
-        if rest:
+        few = at > 0 and _open_pairs(placed) <= FEW * count
+        rest = few or not found
+        if few:
             pairs = _between_classes(placed)
-        elif found:
+        elif rest:
+            small, large = _by_open_pairs(placed)
+            pairs = _between_classes(small).select("u", "m", "v", "k").unionByName(alike(ids, large.select("id", "cls").distinct(), threshold, n))
+        else:
             pairs, outside = _with_leaders(placed), placed.where("cls <> big")
             if at > 0 and _open_pairs(outside) <= FEW * count:
-                pairs = pairs.unionByName(_between_classes(outside))
-        else:
-            break
+                pairs = pairs.unionByName(_between_classes(outside).select("u", "m", "v", "k"))
         pairs = pairs.where((F.least("m", "k") >= threshold * F.greatest("m", "k")) & (F.col("m") > 0) & (F.col("k") > 0)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -193,6 +198,69 @@ def _between_classes(placed: DataFrame) -> DataFrame:
     return both.join(left, ["key", "x"]).join(right, ["key", "y"])
 
 
+def _by_open_pairs(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of the buckets with at most ``FEW`` open pairs an entry, and those of the others."""
+    c = placed.groupBy("key", "cls").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    dealt = common.cut(placed.join(c.select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2 <= FEW * F.col("s")).alias("small")), "key"))
+    return dealt.where("small").drop("small"), dealt.where("not small").drop("small")
+
+
+def least_common(m, k, threshold: float):
+    """The least number of shingles that sets of m and k shingles share if they reach the threshold; a slack keeps rounding on the safe side."""
+    return np.ceil(threshold / (1 + threshold) * (np.asarray(m, dtype=np.float64) + k) - 1e-6)
+
+
+def prefix_keys(s: np.ndarray, counts: np.ndarray, threshold: float, longer: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(join keys, places) of a set as the shorter or the longer one of a pair. Shingles are ordered from rare to
+    common; sets that reach the threshold share one of the first, and how many those are depends on both sizes: a key
+    is a shingle with a class of sizes for either side."""
+    m = s.size
+    c = counts[s & np.int64(_COUNTERS - 1)]
+    order = np.lexsort((s, c))
+    t, once = s[order], c[order] < 2  # a shingle counted once is in no other set
+    own = int(np.log(m) / _STEP)
+    lo, hi = (np.ceil(threshold * m - 1e-6), m) if longer else (m, np.floor(m / threshold + 1e-6))
+    keys, places = [], []
+    for other in range(max(0, int(np.log(max(1, lo)) / _STEP) - 1), int(np.log(hi) / _STEP) + 2):
+        least = max(lo, np.ceil(np.exp(other * _STEP) * (1 - 1e-9) - 1e-6))
+        if least > hi:
+            continue
+        i = np.flatnonzero(~once[: max(0, m - int(least_common(m, least, threshold)) + 1)])
+        short, long = (other, own) if longer else (own, other)
+        keys.append(dart.mix(t[i].view(np.uint64) ^ dart.mix(np.array([short * 4096 + long], dtype=np.uint64))).view(np.int64))
+        places.append(i)
+    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def alike(ids: DataFrame, need: DataFrame, threshold: float, n: int) -> DataFrame:
+    """u, m, v, k: all pairs of the texts in ``need`` (id, cls) of different classes that may reach the threshold, by a
+    prefix join on their shingle sets: pairs that it leaves out share too little."""
+    spark = ids.sparkSession
+    sets = common.cut(sets_of(ids, need.select("id"), n).where(F.size("s") > 0).join(need, "id"))
+    slots = sets.select(F.explode("s").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("c")).toPandas()  # at most _COUNTERS rows
+    counts = np.zeros(_COUNTERS, dtype=np.int64)
+    counts[slots["slot"].to_numpy(dtype=np.int64)] = slots["c"].to_numpy(dtype=np.int64)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def side(longer: bool, names: list[str]) -> DataFrame:
+        def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                for i, cls, s in zip(p["id"], p["cls"], p["s"]):
+                    s = np.asarray(s, dtype=np.int64)
+                    key, place = prefix_keys(s, shared.value, threshold, longer)
+                    if key.size:
+                        yield pd.DataFrame({"key": key, "id": i, "cls": cls, "size": s.size, "place": place})
+
+        return sets.mapInPandas(prefixes, "key long, id long, cls long, size long, place long").toDF(*names)
+
+    left = common.cut(side(False, ["key", "u", "x", "m", "i"]))
+    right = common.cut(side(True, ["key", "v", "y", "k", "j"]))
+    both = left.select("key", "x").distinct().join(right.select("key", "y").distinct(), "key").where("x <> y")
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("k")) - F.lit(1e-6))
+    fits = (F.col("m") <= F.col("k")) & (F.col("m") >= threshold * F.col("k") - 1e-6) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) >= least)
+    return both.join(left, ["key", "x"]).join(right, ["key", "y"]).where(fits).select("u", "m", "v", "k").distinct()
+
+
 def sets_of(ids: DataFrame, need: DataFrame, n: int) -> DataFrame:
     """id, s: the shingle set of each row whose id is asked for. Several rows may carry one id: each gives a set."""
     need = common.near(common.cut(need.distinct()))

@@ -87,6 +87,38 @@ def test_near_duplicate_chain_is_one_class(spark):
     assert [k for k, v in got.items() if v != first] == [max(got)]
 
 
+def test_near_duplicates_inside_a_hot_group(spark):
+    # form letters that are alike at 0.78, two of them at 0.81 by the form alone, which come last where leaders are chosen
+    last = [r["id"] for r in spark.range(500).orderBy(F.xxhash64("id")).limit(2).collect()]
+    form = " ".join(f"w{i}" for i in range(120))
+    texts = [form + "".join(f" p{i}x{j}" for j in range(16)) for i in range(500)]
+    for i in last:
+        texts[i] = " ".join(texts[i].split()[:-2])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    links = {(j, i) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links == {(min(last), max(last))}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: i for i in range(500)} | {max(last): min(last)}
+
+
+def test_prefix_join_loses_no_pair(spark):
+    # sets of many sizes and similarities around the threshold, against brute force
+    rng = np.random.default_rng(8)
+    texts = []
+    for size in (1, 2, 7, 12, 30, 47, 80, 133, 200):
+        base = [f"s{size}w{i}" for i in range(size)]
+        for k in range(24):
+            w = base[: max(1, size - int(rng.integers(0, 1 + size // 5)))]
+            for at in rng.integers(0, len(w), int(rng.integers(0, 1 + size // 40))):
+                w[at] = f"e{int(rng.integers(0, 4))}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + n]) for n in [min(5, len(w))] for i in range(len(w) - n + 1)} for w in map(words, texts)]
+    want = {(j, i) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    ids = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    pairs = neardup.alike(ids, ids.select("id", F.col("id").alias("cls")), 0.8, 5).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    assert {tuple(r) for r in neardup.verified(ids, pairs, 0.8, 5).collect()} == want and len(want) > 500
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     k = 512
     a, b = np.arange(60, dtype=np.uint64), np.arange(20, 80, dtype=np.uint64)
