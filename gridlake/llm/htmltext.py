@@ -9,7 +9,8 @@ distinct pages are boilerplate. Undecided text they cover is removed, its unique
 
 A host's streams are sorted in shards of bounded token mass; each shard reports the ``run``-token heads of
 its suffixes, and heads that meet again in another shard count as repeated too, so the covered places are
-those of one array over the whole host. Equal streams count as one page.
+those of one array over the whole host. Equal streams count as one page if the articles beside them are
+equal too, and else as distinct pages.
 
 Defined cases: null or empty html gives an empty text; truncated tags end with the page; a null url is a
 host of its own; repeated rows get equal results. Other columns are ignored.
@@ -135,6 +136,11 @@ def stream_key(host: str, tokens: list[tuple[str, int]]) -> bytes:
     return hashlib.blake2b("\x00".join([host, *(f"{k}{w}" for w, k in tokens)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def article_key(found: list[tuple[str, int]]) -> bytes:
+    """Tells pages apart whose streams are equal: by their articles."""
+    return hashlib.blake2b("\x00".join(t for t, kind in found if kind == ARTICLE).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def sorted_heads(ids: np.ndarray, run: int) -> np.ndarray:
     """Class numbers of the suffixes by their first ``run`` tokens: the suffix array by prefix doubling, stopped once heads of that length are told apart."""
     rank, length = ids.astype(np.int64), 1
@@ -202,16 +208,17 @@ def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000, broadca
 
     def streams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            got = [(h, s) for h, x in zip(p["host"], p["html"]) if (s := stream(blocks(x)))]
-            yield pd.DataFrame({"host": [h for h, _ in got], "sk": [stream_key(h, s) for h, s in got], "words": [[w for w, _ in s] for _, s in got], "open": [[i for i, (_, k) in enumerate(s) if k == OPEN] for _, s in got]})
+            got = [(h, s, b) for h, x in zip(p["host"], p["html"]) if (s := stream(b := blocks(x)))]
+            yield pd.DataFrame({"host": [h for h, _, _ in got], "sk": [stream_key(h, s) for h, s, _ in got], "article": [article_key(b) for _, _, b in got], "words": [[w for w, _ in s] for _, s, _ in got], "open": [[i for i, (_, k) in enumerate(s) if k == OPEN] for _, s, _ in got]})
 
-    seen = rows.select("host", "html").mapInPandas(streams, "host string, sk binary, words array<string>, open array<int>")
-    seen = common.cut(seen.dropDuplicates(["host", "sk"]))
+    seen = rows.select("host", "html").mapInPandas(streams, "host string, sk binary, article binary, words array<string>, open array<int>")
+    seen = common.cut(seen.groupBy("host", "sk").agg((F.min("article") != F.max("article")).alias("several"), F.first("words").alias("words"), F.first("open").alias("open")))
     shards = seen.groupBy("host").agg(F.ceil(F.sum(F.size("words")) / shard_tokens).alias("shards"), F.sum(F.size("open")).alias("undecided")).where("undecided > 0")
     dealt = seen.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("sk"), F.col("shards")))
 
     def heads(p: pd.DataFrame) -> pd.DataFrame:
         page, place, key, again = repeated_heads([list(w) for w in p["words"]], run)
+        again = again | p["several"].to_numpy(dtype=bool)[page]
         one, at = np.unique(key, return_index=True)
         open_sets = [np.asarray(o, dtype=np.int64) for o in p["open"]]
         touch = np.zeros(page.size, dtype=bool)

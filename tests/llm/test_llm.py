@@ -187,6 +187,16 @@ def test_repeated_runs_across_pages(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_equal_streams_beside_different_articles_are_repeats(spark):
+    shared = "join our mailing list for all the latest offers today"
+    rows = [(i, f"http://h.test/{i}", f"<body><nav>Home News</nav><div>{shared}</div><article><p>story {i}</p></article><footer>f</footer>") for i in range(5)]
+    rows += [(5 + i, f"http://g.test/{i}", f"<body><div>{shared}</div><article><p>one story</p></article>") for i in range(2)]  # one page, twice
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (200_000, 8):
+        got = {r["page_id"]: r["text"] for r in htmltext.extract(df, shard_tokens=shard).collect()}
+        assert got == {i: f"story {i}" for i in range(5)} | {5 + i: f"{shared}\none story" for i in range(2)}
+
+
 def test_token_histogram(spark):
     texts = ["a b c", "", None, "hello world again", "x"] * 3
     n = tokens.lengths(texts, tokens.DEFAULT_VOCABULARY)
