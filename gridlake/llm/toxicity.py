@@ -5,7 +5,9 @@ likelihood-ratio test ties to the toxic label. Examples lie in an inverted index
 each term keeps its largest weight of every block, so a search visits blocks by falling upper bound
 and stops when no unvisited block can enter the nearest k: the result is exact. The neighbours vote
 with their cosine, weighted back to the classes' shares in the labels, and are returned as evidence.
-A text that shares no term with any example gets the smoothed toxic share of such examples.
+A text without such a term is held against all examples by all its words: there near copies decide, as
+neighbours vote with a high power of their cosine. A text that shares no word with any example gets the
+smoothed toxic share of the examples without a term.
 
 Defined cases: null and empty texts have no terms; a document with several labels counts as toxic if
 one says so; labels other than 0 and 1 are left out; without labels every score is 0; equal cosines
@@ -103,6 +105,45 @@ class BlockMaxIndex:
         return [(i, -s) for s, i in found]
 
 
+@dataclass
+class WordIndex:
+    """All examples by all their words: TF-IDF lists of each word, summed over a query's words. Words that no example has count in a query's length."""
+
+    counts: list[Counter]
+
+    def __post_init__(self) -> None:
+        n, df = len(self.counts), Counter(w for c in self.counts for w in c)
+        self.number = {w: j for j, w in enumerate(df)}
+        self.idf = {w: math.log((n + 1) / (d + 1)) + 1 for w, d in df.items()}
+        self.size, self.unseen = n, math.log(n + 1) + 1
+        term, row, weight = [], [], []
+        for i, c in enumerate(self.counts):
+            v = {w: (1 + math.log(k)) * self.idf[w] for w, k in c.items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            term += [self.number[w] for w in v]
+            row += [i] * len(v)
+            weight += [x / norm for x in v.values()]
+        order = np.argsort(np.array(term, dtype=np.int64), kind="stable")
+        self.row, self.weight = np.array(row, dtype=np.int32)[order], np.array(weight, dtype=np.float64)[order]
+        self.start = np.concatenate(([0], np.cumsum([df[w] for w in self.number], dtype=np.int64))).astype(np.int64)
+        self.counts = []
+
+    def search(self, query: Counter, k: int) -> list[tuple[int, float]]:
+        """The k rows of largest cosine over 0, equal ones by row number."""
+        acc, length = np.zeros(self.size), 0.0
+        for w, c in query.items():
+            x = (1 + math.log(c)) * self.idf.get(w, self.unseen)
+            length += x * x
+            if (j := self.number.get(w)) is not None:
+                a, b = self.start[j], self.start[j + 1]
+                acc[self.row[a:b]] += x * self.weight[a:b]
+        if not acc.any():
+            return []
+        acc = np.round(acc / math.sqrt(length), 12)
+        order = np.argsort(-acc, kind="stable")[:k]
+        return [(int(i), float(acc[i])) for i in order if acc[i] > 0]
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: dict[str, int]
@@ -114,6 +155,10 @@ class ToxicityModel:
     base: float
     k: int = 15
     smooth: float = 0.1
+    whole: WordIndex | None = None
+    whole_toxic: np.ndarray | None = None
+    whole_ids: list = field(default_factory=list)
+    power: int = 8
     _words: dict = field(default_factory=dict)
     _seen: dict = field(default_factory=dict)
 
@@ -131,23 +176,26 @@ class ToxicityModel:
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {j: x / norm for j, x in v.items()} if norm else {}
 
-    def vote(self, found: list[tuple[int, float]]) -> float:
+    def vote(self, found: list[tuple[int, float]], toxic: np.ndarray) -> float:
         if not found:
             return self.base
-        w = [s * self.class_weight[int(self.toxic[i])] for i, s in found]
-        yes = sum(x for x, (i, _) in zip(w, found) if self.toxic[i])
+        w = [s * self.class_weight[int(toxic[i])] for i, s in found]
+        yes = sum(x for x, (i, _) in zip(w, found) if toxic[i])
         return (yes + self.smooth * self.base) / (sum(w) + self.smooth)
 
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        v = self.vector(word_counts(text))
+        counts = word_counts(text)
+        v = self.vector(counts)
         if not v:
-            return self.base, []
+            found = self.whole.search(counts, self.k) if self.whole and counts else []
+            close = [(i, s**self.power) for i, s in found]
+            return min(1.0, max(0.0, self.vote(close, self.whole_toxic))), [(self.whole_ids[i], s) for i, s in found[:3]]
         key = tuple(sorted(v.items()))
         if (got := self._seen.get(key)) is None:
             if len(self._seen) > 20_000:
                 self._seen.clear()
             found = self.index.search(v, self.k)
-            got = self._seen[key] = (min(1.0, max(0.0, self.vote(found))), [(self.ids[i], s) for i, s in found[:3]])
+            got = self._seen[key] = (min(1.0, max(0.0, self.vote(found, self.toxic))), [(self.ids[i], s) for i, s in found[:3]])
         return got
 
     def __getstate__(self) -> dict:
@@ -196,11 +244,13 @@ def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, fl
     share = share or (at[0] / max(1, len(rows)), at[1] / max(1, len(rows)))
     weight = tuple(share[c] * len(rows) / at[c] if at[c] else 0.0 for c in (0, 1))
     model = ToxicityModel(vocabulary, idf, BlockMaxIndex([], max(1, len(vocabulary))), y, [], weight, 0.0)
-    vectors = [model.vector(word_counts(t)) for _, t, _ in rows]
+    counts = [word_counts(t) for _, t, _ in rows]
+    vectors = [model.vector(c) for c in counts]
     none = [sum(1 for v, label in zip(vectors, y) if not v and label == c) * weight[c] for c in (0, 1)]
     model.base = min(0.49, (none[1] + 0.01) / (none[0] + none[1] + 1)) if rows else 0.0
     kept = [i for i, v in enumerate(vectors) if v]
     model.index, model.toxic, model.ids = BlockMaxIndex([vectors[i] for i in kept], max(1, len(vocabulary))), y[kept], [rows[i][0] for i in kept]
+    model.whole, model.whole_toxic, model.whole_ids = WordIndex(counts), y, [r[0] for r in rows]
     return model
 
 

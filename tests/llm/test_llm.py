@@ -141,6 +141,15 @@ def test_block_max_search_is_exact():
         assert [i for i, _ in index.search(q, 10)] == [i for s, i in dots[:10] if s < 0]
 
 
+def test_copy_of_a_toxic_example_without_a_telling_term_is_found():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) for _ in range(60)]
+    model = toxicity.fit_texts([(i, t, int(i < 2)) for i, t in enumerate(texts)])  # two toxic ones: no term passes the test
+    assert not model.vocabulary
+    assert [i for i, t in enumerate(texts) if model.score(t)[0] >= 0.5] == [0, 1]
+    assert model.score(texts[1])[1][0] == (1, 1.0)
+
+
 def test_held_out_quality(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
