@@ -66,17 +66,23 @@ def fresh(df: DataFrame, *stem: str) -> list[str]:
     return out
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of the test machine only where the session names none."""
+    """The shared folder of the cluster. Where the session names none: the context's own checkpoint folder, or, on a
+    test machine only, one temporary folder for the whole session."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named and sc.master.startswith("local["):
         import tempfile
 
-        named = "file://" + tempfile.mkdtemp(prefix="gridlake-checkpoint-")
-    if named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
+        named = _LOCAL.setdefault(sc.applicationId, "")
+        if not named:
+            named = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridlake-checkpoint-")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def near(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -99,10 +105,43 @@ def give_back() -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The table, written once to the shared checkpoint folder and read from there: lineage ends, lost executors cost
     nothing before it, and the optimizer sees the files' sizes. (``checkpoint()`` runs its last stage twice and keeps the
-    size estimates of the whole past, which grow with every join of a loop.)"""
+    size estimates of the whole past, which grow with every join of a loop.) All tables of an application lie in one
+    folder named after it; ``discard`` removes those that no result reads any more."""
     import uuid
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/gridlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one key from which its rows are dealt over several tasks.
+HOT = 10_000
+
+
+def look_up(many: DataFrame, one: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """Inner join of many rows a key with the one row that ``one`` has for it. Keys of more than ``hot`` rows are dealt
+    over as many tasks as they need: the one row is repeated for each. The list of such keys has at most
+    rows / ``hot`` entries and is broadcast. ``many`` is counted: it should be a written table."""
+    if many.count() <= hot:
+        return many.join(one, key)
+    heavy = cut(many.groupBy(key).agg(F.count("*").alias("__parts")).where(F.col("__parts") > hot).select(key, F.ceil(F.col("__parts") / hot).cast("int").alias("__parts")))
+    if heavy.isEmpty():
+        discard(heavy)
+        return many.join(one, key)
+    heavy = F.broadcast(heavy)
+    left = many.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(*many.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    right = one.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")

@@ -9,7 +9,7 @@ for the whole weight need; coordinates still empty go on to later cells.
 
 from __future__ import annotations
 
-from math import ceil, exp, factorial, log
+from math import exp, factorial, log
 
 import numpy as np
 
@@ -87,6 +87,23 @@ def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     return mix(h + np.uint64(n))
 
 
+def elements(text: str, n: int = 5, weighted: bool = True) -> np.ndarray:
+    """Sorted hashes of the elements of a text. Weighted: the j-th occurrence of a shingle is an element of its own,
+    so that the Jaccard similarity of such sets is the weighted one (least counts over greatest counts)."""
+    h = np.sort(shingles(word_hashes(text), n))
+    if not weighted or h.size < 2:
+        return np.unique(h)
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    if new.all():
+        return h
+    at = np.arange(h.size)
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    again = nth > 0
+    with np.errstate(over="ignore"):
+        h[again] = mix(h[again] + nth[again].astype(np.uint64) * _B)
+    return np.unique(h)
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: int, k: int) -> np.ndarray:
     """sets x k array: the earliest dart of each coordinate. Rows of sets without elements stay full."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -150,6 +167,3 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
         key += np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mix(key).view(np.int64)
 
-
-def needed_darts(k: int, mass: float) -> int:
-    return ceil((k * log(k) + 2 * k) / mass)

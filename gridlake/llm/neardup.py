@@ -1,22 +1,24 @@
-"""Near-duplicate classes: DartMinHash signatures, banded joining, exact verification, components.
-
-Documents with equal word sequences are one text; only the first of each takes part further on, the
-others follow it. Texts of at least ``threshold`` Jaccard similarity on sets of ``n``-word shingles are
-linked: bands of signatures bring candidates together, and a candidate is accepted only by its exact
-similarity. Texts of a bucket are compared with leaders out of the bucket's largest class, one in the first
-round, then four, then ``LEADERS``, never each with each: that joins large groups by as many comparisons as
-they have members. Leaders then leave their buckets, as they have met all others, and only buckets that still
-hold several classes go on, in rounds, as long as leaders find links. Then the pairs left are settled, all of
-them: buckets in which they are at most ``FEW`` for each entry make them one by one, and the texts of larger
-buckets (a group of texts that are alike, but not alike enough, would need the square of its size) meet by a
-prefix join, which leaves out only pairs that cannot reach the threshold. So no candidate is left out, whatever
-else the table holds.
-Classes are the components of the links, found by joins over written tables.
-
-Defined cases: null texts and texts without a word are never linked, unless the same non-empty string
-repeats; a text of fewer than ``n`` words is one shingle; repeated rows fall in one class; rows with a null id
-form no class (their class is null). Other columns are ignored by ``near_duplicates`` and kept by
-``deduplicate``, which keeps the smallest id of each class (and one of several rows with that id).
+"""Near-duplicate classes: weighted DartMinHash signatures, banded joining, exact verification, components.
+
+Documents with equal word sequences are one text; only the first of each takes part further on, the others follow
+it. A text's shingles of ``n`` words are weighted by how often they occur; texts are linked from a weighted Jaccard
+similarity (sum of least counts over sum of greatest counts) of ``threshold`` on. Bands of signatures bring
+candidates together, and a candidate is accepted only by its exact similarity:
+
+1. Stars: each text of a bucket is held against one text of it, as many pairs as entries. That joins groups of copies,
+   however large, without their pairs. A second star, around a text of the bucket's largest class, takes what the first left.
+2. All texts of buckets that still hold several classes meet by a prefix join: elements are ordered from rare to
+   common, and texts that reach the threshold share one of their first few. Only pairs of different classes are made
+   there, and bounds on lengths and positions leave out pairs that cannot reach the threshold, and no other. So
+   every pair of a bucket is settled, at every size.
+
+Classes are the components of the links, found by joins over written tables until no label moves. Buckets, leaders and
+classes of many rows are dealt over several tasks.
+
+Defined cases: null texts and empty ones are never linked, texts without a word only if the same string repeats;
+a text of fewer than ``n`` words is one shingle; repeated rows fall in one class; rows with a null id form no class
+(their class is null). Rows that share an id but not their text are texts of their own. Other columns are ignored by
+``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -31,13 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 from . import dartminhash as dart
 
-BANDS, ROWS = 42, 7
-#: Comparisons for each entry of the buckets up to which those between different classes are made without a leader.
-FEW = 2
-LEADERS = 16
+BANDS, ROWS, STARS = 42, 7, 2
 _CHARS = 150_000
-#: Prefix join: counters of how common shingles are (by their low bits), and the logarithmic width of a class of sizes.
-_COUNTERS, _STEP = 1 << 18, 0.05
+#: Prefix join: counters of how common elements are (by their low bits). Collisions change the order, never the result.
+_COUNTERS = 1 << 18
 
 
 def fingerprints(texts: list[str | None]) -> list[bytes | None]:
@@ -54,12 +53,6 @@ def fingerprints(texts: list[str | None]) -> list[bytes | None]:
     return out
 
 
-def hash_of(text: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-
-
 def _pieces(texts: list[str], size: int = _CHARS) -> Iterator[slice]:
     at, held = 0, 0
     for i, t in enumerate(texts):
@@ -72,7 +65,7 @@ def _pieces(texts: list[str], size: int = _CHARS) -> Iterator[slice]:
 
 
 def text_keys(texts: list[str], n: int, bands: int, rows: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and number of different shingles of each text. Texts without words share no dart: the caller's fingerprint is all that joins them."""
+    """Band keys and total weight of each text. Texts without words have weight 0 and no use for their keys: the fingerprint is all that joins them."""
     out, sizes = np.zeros((len(texts), bands), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
     for s in _pieces(texts):
         el, we, ow = [], [], []
@@ -82,232 +75,195 @@ def text_keys(texts: list[str], n: int, bands: int, rows: int, weighted: bool) -
             el.append(u)
             we.append(c.astype(np.float64) if weighted else np.ones(u.size))
             ow.append(np.full(u.size, i, dtype=np.int64))
-        sig = dart.signatures(np.concatenate(el), np.concatenate(we), np.concatenate(ow), len(part), bands * rows)
-        out[s] = dart.band_keys(sig, bands, rows)
-        sizes[s] = np.bincount(np.concatenate(ow), minlength=len(part))
-        bare = sizes[s] == 0
-        if bare.any():  # keys of their own, by the string
-            for i in np.flatnonzero(bare):
-                out[s.start + i] = dart.mix(np.arange(bands, dtype=np.uint64) + np.uint64(hash_of(part[i]))).view(np.int64)
+        weights, owner = np.concatenate(we), np.concatenate(ow)
+        out[s] = dart.band_keys(dart.signatures(np.concatenate(el), weights, owner, len(part), bands * rows), bands, rows)
+        sizes[s] = np.bincount(owner, weights, minlength=len(part)).astype(np.int64)
     return out, sizes
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), for every row of the table."""
+def _classed(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, weighted: bool) -> DataFrame:
+    """id, x (hash of the text), class_id (smallest id of the class), for every row. ``node`` is a text: 64 bits of its fingerprint."""
     spark = docs.sparkSession
     common.text_batches(spark)
 
-    # 1. one pass over the texts: what equal texts share, and the band keys
+    # one pass over the texts: what equal texts share, and the band keys
     def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             texts = p["t"].tolist()
             fp = fingerprints(texts)
-            with_words = [i for i, f in enumerate(fp) if f is not None]
+            some = [i for i, f in enumerate(fp) if f is not None]
             out: list = [None] * len(texts)
             size = np.zeros(len(texts), dtype=np.int64)
-            for i, k, m in zip(with_words, *text_keys([texts[i] for i in with_words], n, bands, rows, weighted)):
+            for i, k, m in zip(some, *text_keys([texts[i] for i in some], n, bands, rows, weighted)):
                 out[i], size[i] = k, m
-            yield pd.DataFrame({"id": p["id"].astype("Int64"), "fp": fp, "size": size, "keys": out})
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    prints = common.cut(ids.mapInPandas(keys, "id long, fp binary, size long, keys array<long>"))
-
-    # 2. equal texts: the smallest id stands for all; its band keys are the text's
-    known = prints.where(F.col("fp").isNotNull() & F.col("id").isNotNull())
-    first = common.cut(known.groupBy("fp").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.min_by("keys", "id").alias("keys")))
-    entries = first.select(F.col("rep").alias("id"), "size", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    entries = common.cut(entries.join(shared, "key", "left_semi").distinct())
-
-    # 3. links: with leaders, then whatever is left
-    count = entries.count()
-    classes = links = tried = None
-    rest, found, at = False, True, 0
-    while not rest:
-        if classes is None:
-            named = entries.withColumn("cls", F.col("id"))
-        else:
-            named = common.cut(_sized(entries.join(classes, "id", "left").withColumn("cls", F.coalesce("cls", "id")), count))
-        placed = common.cut(_sized(_open(named, min(4**at, LEADERS)), count))
-        if placed.isEmpty():
-            break
-        few = at > 0 and _open_pairs(placed) <= FEW * count
-        rest = few or not found
-        if few:
-            pairs = _between_classes(placed)
-        elif rest:
-            small, large = _by_open_pairs(placed)
-            pairs = _between_classes(small).select("u", "m", "v", "k").unionByName(alike(ids, large.select("id", "cls").distinct(), threshold, n))
-        else:
-            pairs, outside = _with_leaders(placed), placed.where("cls <> big")
-            if at > 0 and _open_pairs(outside) <= FEW * count:
-                pairs = pairs.unionByName(_between_classes(outside).select("u", "m", "v", "k"))
-        pairs = pairs.where((F.least("m", "k") >= threshold * F.greatest("m", "k")) & (F.col("m") > 0) & (F.col("k") > 0)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.cut(_sized(pairs, FEW * count))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        entries = placed.where(~F.array_contains("r.id", F.col("id"))).select("id", "size", "key")
-        fresh = common.cut(verified(ids, pairs, threshold, n))
-        found = not fresh.isEmpty()
-        if found:
-            links = fresh if links is None else links.unionByName(fresh)
-            classes = components(links)
-        at += 1
-    out = prints.select("id", "fp").join(first.select("fp", "rep"), "fp", "left").withColumn("node", F.coalesce("rep", "id"))
-    if classes is None:
-        return out.select(F.col("id").alias("doc_id"), F.col("node").alias("class_id"))
-    named = classes.select(F.col("id").alias("node"), "cls")
-    return out.join(named, "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("cls", "node").alias("class_id"))
-
-
-def _sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
-    """The table in as many tasks as its (at most) ``rows`` narrow rows need, not in as many as a shuffle has."""
-    return df.coalesce(max(12, rows // each))
-
-
-def _open(named: DataFrame, leaders: int) -> DataFrame:
-    """Entries of the buckets that hold several classes, with the bucket's largest class and leaders out of it: the
-    first by each of some orders of all texts, so that the buckets of a group share theirs."""
-    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(o)).alias("o"), "id", "size")) for o in range(leaders)]
-    kinds = named.groupBy("key", "cls").agg(F.count("*").alias("c"), F.array(*firsts).alias("r"))
-    heads = kinds.groupBy("key").agg(F.max_by(F.struct("cls", "r"), F.struct("c", F.xxhash64("cls"))).alias("top"), F.count("*").alias("n")).where("n > 1")
-    heads = heads.select("key", F.col("top.cls").alias("big"), F.array_distinct(F.transform("top.r", lambda r: F.struct(r.id.alias("id"), r.size.alias("size")))).alias("r"))
-    return named.join(heads, "key")
-
-
-def _with_leaders(placed: DataFrame) -> DataFrame:
-    """Each entry outside its bucket's largest class with the leaders."""
-    met = placed.where("cls <> big").select(F.col("id").alias("u"), F.col("size").alias("m"), F.explode("r").alias("l"))
-    return met.select("u", "m", F.col("l.id").alias("v"), F.col("l.size").alias("k"))
-
-
-def _open_pairs(placed: DataFrame) -> int:
-    """How many pairs of entries of different classes the buckets hold."""
-    c = placed.groupBy("key", "cls").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return int(c.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
-
-
-def _between_classes(placed: DataFrame) -> DataFrame:
-    """All pairs of entries of different classes: first the pairs of classes, then their members, so that pairs
-    within a class are never made. The caller has checked how many there are."""
-    kinds = placed.select("key", "cls").distinct()
-    both = kinds.withColumnRenamed("cls", "x").join(kinds.withColumnRenamed("cls", "y"), "key").where("x < y")
-    left = placed.select("key", F.col("cls").alias("x"), F.col("id").alias("u"), F.col("size").alias("m"))
-    right = placed.select("key", F.col("cls").alias("y"), F.col("id").alias("v"), F.col("size").alias("k"))
-    return both.join(left, ["key", "x"]).join(right, ["key", "y"])
-
-
-def _by_open_pairs(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of the buckets with at most ``FEW`` open pairs an entry, and those of the others."""
-    c = placed.groupBy("key", "cls").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    dealt = common.cut(placed.join(c.select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2 <= FEW * F.col("s")).alias("small")), "key"))
-    return dealt.where("small").drop("small"), dealt.where("not small").drop("small")
+            node = pd.array([None if f is None else int.from_bytes(f[:8], "big", signed=True) for f in fp], dtype="Int64")
+            yield pd.DataFrame({"id": p["id"].astype("Int64"), "x": p["x"].astype("Int64"), "node": node, "size": size, "keys": out})
+
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("x"), F.col("text").alias("t"))
+    prints = common.cut(ids.mapInPandas(keys, "id long, x long, node long, size long, keys array<long>"))
+    known = prints.where(F.col("node").isNotNull() & F.col("id").isNotNull())
+    # equal texts: one row (id, x) stands for all and brings the text's elements later
+    first = common.cut(known.groupBy("node").agg(F.min(F.struct("id", "x")).alias("rep"), F.min("size").alias("size"), F.min_by("keys", "id").alias("keys")))
+    entries = first.where("size > 0").select("node", "size", F.explode("keys").alias("key"))
+
+    # stars
+    leader = F.min(F.struct(F.xxhash64("node").alias("o"), "node", "size"))
+    heads = entries.groupBy("key").agg(F.count("*").alias("c"), leader.alias("r")).where("c > 1")
+    heads = common.cut(heads.select("key", F.col("r.node").alias("lead"), F.col("r.size").alias("lsize")))
+    placed = common.cut(entries.join(common.near(heads), "key"))
+    used = common.cut(placed.select("node").distinct())
+    sets = common.cut(_sets(ids, first.join(common.near(used), "node", "left_semi").select("node", "rep"), n, weighted))
+    links = None
+    for star in range(STARS):
+        pairs = placed.where(F.col("node") != F.col("lead")).where(_fit("size", "lsize", threshold)).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+        found = common.cut(_verified(common.cut(pairs), sets, threshold))
+        links = found if links is None else links.unionByName(found)
+        classes, met = components(links), placed.select("node", "size", "key")
+        if star + 1 < STARS:
+            placed = common.cut(_around_largest(_with_classes(met, classes), star + 1))
+
+    # all that is left between classes
+    rest = _with_classes(met, classes)
+    several = rest.groupBy("key").agg(F.min("cls").alias("l"), F.max("cls").alias("h")).where("l <> h").select("key")
+    need = common.cut(rest.join(common.near(common.cut(several)), "key", "left_semi").select("node", "cls").distinct())
+    found = common.cut(_verified(common.cut(_alike(sets, need, threshold)), sets, threshold))
+    if not found.isEmpty():
+        classes = components(links.unionByName(found))
+    common.discard(heads, placed, used, sets)
+
+    out = common.cut(_with_classes(first.select("node", F.col("rep.id").alias("least")), classes))
+    tops = out.groupBy("cls").agg(F.min("least").alias("top"))
+    named = common.cut(common.look_up(out, tops, "cls").select("node", F.col("top").alias("class_id")))
+    member = prints.select("id", "x", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    joined = common.look_up(member.where("node is not null"), common.near(named), "node").select("id", "x", "class_id")
+    return joined.unionByName(member.where("node is null").select("id", "x", F.col("id").alias("class_id")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """doc_id, class_id (the smallest id of its class), for every row of the table."""
+    return _classed(docs, threshold, n, bands, rows, weighted).select(F.col("id").alias("doc_id"), "class_id")
 
 
-def least_common(m, k, threshold: float):
-    """The least number of shingles that sets of m and k shingles share if they reach the threshold; a slack keeps rounding on the safe side."""
-    return np.ceil(threshold / (1 + threshold) * (np.asarray(m, dtype=np.float64) + k) - 1e-6)
+def _fit(m: str, k: str, threshold: float):
+    """Total weights that a pair above the threshold can have."""
+    return F.least(m, k) >= F.lit(threshold) * F.greatest(m, k) - 1e-6
 
 
-def prefix_keys(s: np.ndarray, counts: np.ndarray, threshold: float, longer: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(join keys, places) of a set as the shorter or the longer one of a pair. Shingles are ordered from rare to
-    common; sets that reach the threshold share one of the first, and how many those are depends on both sizes: a key
-    is a shingle with a class of sizes for either side."""
-    m = s.size
-    c = counts[s & np.int64(_COUNTERS - 1)]
-    order = np.lexsort((s, c))
-    t, once = s[order], c[order] < 2  # a shingle counted once is in no other set
-    own = int(np.log(m) / _STEP)
-    lo, hi = (np.ceil(threshold * m - 1e-6), m) if longer else (m, np.floor(m / threshold + 1e-6))
-    keys, places = [], []
-    for other in range(max(0, int(np.log(max(1, lo)) / _STEP) - 1), int(np.log(hi) / _STEP) + 2):
-        least = max(lo, np.ceil(np.exp(other * _STEP) * (1 - 1e-9) - 1e-6))
-        if least > hi:
-            continue
-        i = np.flatnonzero(~once[: max(0, m - int(least_common(m, least, threshold)) + 1)])
-        short, long = (other, own) if longer else (own, other)
-        keys.append(dart.mix(t[i].view(np.uint64) ^ dart.mix(np.array([short * 4096 + long], dtype=np.uint64))).view(np.int64))
-        places.append(i)
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def alike(ids: DataFrame, need: DataFrame, threshold: float, n: int) -> DataFrame:
-    """u, m, v, k: all pairs of the texts in ``need`` (id, cls) of different classes that may reach the threshold, by a
-    prefix join on their shingle sets: pairs that it leaves out share too little."""
-    spark = ids.sparkSession
-    sets = common.cut(sets_of(ids, need.select("id"), n).where(F.size("s") > 0).join(need, "id"))
-    slots = sets.select(F.explode("s").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("c")).toPandas()  # at most _COUNTERS rows
-    counts = np.zeros(_COUNTERS, dtype=np.int64)
-    counts[slots["slot"].to_numpy(dtype=np.int64)] = slots["c"].to_numpy(dtype=np.int64)
-    shared = spark.sparkContext.broadcast(counts)
+def _with_classes(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    return entries.join(common.near(classes.withColumnRenamed("id", "node")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
 
-    def side(longer: bool, names: list[str]) -> DataFrame:
-        def prefixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                for i, cls, s in zip(p["id"], p["cls"], p["s"]):
-                    s = np.asarray(s, dtype=np.int64)
-                    key, place = prefix_keys(s, shared.value, threshold, longer)
-                    if key.size:
-                        yield pd.DataFrame({"key": key, "id": i, "cls": cls, "size": s.size, "place": place})
 
-        return sets.mapInPandas(prefixes, "key long, id long, cls long, size long, place long").toDF(*names)
-
-    left = common.cut(side(False, ["key", "u", "x", "m", "i"]))
-    right = common.cut(side(True, ["key", "v", "y", "k", "j"]))
-    both = left.select("key", "x").distinct().join(right.select("key", "y").distinct(), "key").where("x <> y")
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("k")) - F.lit(1e-6))
-    fits = (F.col("m") <= F.col("k")) & (F.col("m") >= threshold * F.col("k") - 1e-6) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) >= least)
-    return both.join(left, ["key", "x"]).join(right, ["key", "y"]).where(fits).select("u", "m", "v", "k").distinct()
+def _around_largest(named: DataFrame, order: int) -> DataFrame:
+    """Entries of the buckets that hold several classes, with a text of the bucket's largest one; its own members lead themselves."""
+    one = F.min(F.struct(F.xxhash64("node", F.lit(order)).alias("o"), "node", "size"))
+    kinds = named.groupBy("key", "cls").agg(F.count("*").alias("c"), one.alias("r"))
+    heads = kinds.groupBy("key").agg(F.max_by(F.struct("cls", "r"), F.struct("c", F.xxhash64("cls"))).alias("top"), F.count("*").alias("n")).where("n > 1")
+    heads = common.near(common.cut(heads.select("key", F.col("top.cls").alias("big"), F.col("top.r.node").alias("lead"), F.col("top.r.size").alias("lsize"))))
+    return named.join(heads, "key").select("node", "size", "key", F.when(F.col("cls") == F.col("big"), F.col("node")).otherwise(F.col("lead")).alias("lead"), "lsize")
 
 
-def sets_of(ids: DataFrame, need: DataFrame, n: int) -> DataFrame:
-    """id, s: the shingle set of each row whose id is asked for. Several rows may carry one id: each gives a set."""
-    need = common.near(common.cut(need.distinct()))
+def _sets(ids: DataFrame, need: DataFrame, n: int, weighted: bool) -> DataFrame:
+    """node, s: the elements of each text that is asked for, from the one row that stands for it (repeats of that row go)."""
 
     @F.pandas_udf("array<long>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([np.unique(dart.shingles(dart.word_hashes(t), n)).view(np.int64) for t in s])
+            yield pd.Series([dart.elements(t, n, weighted).view(np.int64) for t in s])
 
-    return ids.join(need, "id", "left_semi").where(F.col("t").isNotNull()).select("id", sets("t").alias("s"))
+    rows = common.near(common.cut(need.select("node", F.col("rep.id").alias("id"), F.col("rep.x").alias("x"))))
+    return ids.join(rows, ["id", "x"]).select("node", sets("t").alias("s")).dropDuplicates(["node"])
 
 
-def verified(ids: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
-    texts = sets_of(ids, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
-    sa, sb = texts.select(F.col("id").alias("a"), F.col("s").alias("x")), texts.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(sa, "a").join(sb, "b")
-    common_size = F.size(F.array_intersect("x", "y"))
-    return both.where((common_size > 0) & (common_size >= threshold * (F.size("x") + F.size("y") - common_size))).select("a", "b").distinct()
-
-
-def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """id, cls: the smallest id that links reach. Each round takes the smallest label around and then the label's own label."""
-    count = links.count()
-    edges = common.cut(_sized(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), count))
-    label = common.cut(_sized(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id"), count))
-    for _ in range(max_rounds):
-        near = edges.join(label.select(F.col("id").alias("v"), F.col("cls").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        step = label.join(near, label["id"] == near["u"], "left").select("id", F.col("cls").alias("old"), F.least("cls", F.coalesce("c", "cls")).alias("cls"))
-        jump = step.select(F.col("id").alias("cls"), F.col("cls").alias("further"))
-        moved = common.cut(_sized(step.join(jump, "cls", "left").select("id", "old", F.least("cls", F.coalesce("further", "cls")).alias("cls")), count))
+    sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    both = common.look_up(common.look_up(pairs, sa, "a"), sb, "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where((shared > 0) & (shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared) - 1e-9)).select("a", "b")
+
+
+def prefixes(s: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """The first elements of a set, from rare to common, of which a text that reaches the threshold has one: all of
+    them if that text is as long or shorter; the first ``short`` do if it is as long or longer."""
+    m = s.size
+    order = np.lexsort((s, counts[s & np.int64(_COUNTERS - 1)]))
+    long = m - int(np.ceil(threshold * m - 1e-6)) + 1
+    short = m - int(np.ceil(2 * threshold / (1 + threshold) * m - 1e-6)) + 1
+    return s[order[:long]], short
+
+
+def _alike(sets: DataFrame, need: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of the texts in ``need`` (node, cls) of different classes that may reach the threshold, by a
+    prefix join on their elements: pairs that it leaves out share too little."""
+    spark = sets.sparkSession
+    mine = common.cut(sets.join(need, "node"))
+    slots = mine.select(F.explode("s").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("c")).toPandas()  # at most _COUNTERS rows
+    counts = np.zeros(_COUNTERS, dtype=np.int32)
+    counts[slots["slot"].to_numpy(dtype=np.int64)] = np.minimum(slots["c"].to_numpy(dtype=np.int64), 2**31 - 1)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def firsts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for node, cls, s in zip(p["node"], p["cls"], p["s"]):
+                s = np.asarray(s, dtype=np.int64)
+                t, short = prefixes(s, shared.value, threshold)
+                place = np.arange(t.size)
+                other = shared.value[t & np.int64(_COUNTERS - 1)] > 1  # an element counted once is in no other set
+                yield pd.DataFrame({"t": t[other], "node": node, "cls": cls, "m": s.size, "i": place[other], "short": (place < short)[other]})
+
+    rows = common.cut(mine.mapInPandas(firsts, "t long, node long, cls long, m long, i long, short boolean"))
+    common.discard(mine)
+    left = rows.where("short").select("t", F.col("node").alias("u"), F.col("cls").alias("x"), "m", "i")
+    right = rows.select("t", F.col("node").alias("v"), F.col("cls").alias("y"), F.col("m").alias("k"), F.col("i").alias("j"))
+    kinds = left.select("t", "x").distinct().join(right.select("t", "y").distinct(), "t").where("x <> y")
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("k")) - F.lit(1e-6))
+    fits = (F.col("m") <= F.col("k")) & _fit("m", "k", threshold) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) >= least)
+    return kinds.join(left, ["t", "x"]).join(right, ["t", "y"]).where(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def components(links: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """id, cls: the smallest id that links reach. Each round takes the smallest label around and then the label's own
+    label, until none moves: a chain of n ids takes about log n rounds. Labels of at most ``most`` links are broadcast;
+    beyond that they are joined by shuffles, in which hubs and large classes are dealt over several tasks."""
+    edges = common.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    small = edges.count() <= 2 * most
+    label = common.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id"))
+
+    def look_up(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+        return many.join(F.broadcast(one), key) if small else common.look_up(common.cut(many), one, key)
+
+    while True:
+        near = look_up(edges, label.select(F.col("id").alias("v"), F.col("cls").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
+        step = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("cls").alias("old"), F.least("cls", "c").alias("cls"))
+        jump = label.select(F.col("id").alias("cls"), F.col("cls").alias("further"))
+        moved = common.cut(look_up(step, jump, "cls").select("id", "old", F.least("cls", "further").alias("cls")))
+        common.discard(label)
         label = moved.select("id", "cls")
+        label._written_at = moved._written_at
         if moved.where("old <> cls").isEmpty():
-            break
-    return label
-
-
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The table with one row of each class: that of the smallest id."""
-    classes = near_duplicates(docs, **options)
-    (gone,) = common.fresh(docs, "gone")
-    dropped = common.cut(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone)).distinct())
-    kept = docs.join(common.near(dropped), docs["doc_id"] == F.col(gone), "left_anti")
-    several = common.cut(docs.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1").select(F.col("doc_id").alias(gone)).distinct())
-    if several.isEmpty():
-        return kept
-    # rows that repeat an id and its text: one of them stays
-    once = kept.join(several, kept["doc_id"] == several[gone], "left_anti")
-    again = kept.join(several, kept["doc_id"] == several[gone], "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+            common.discard(edges)
+            return label
+
+
+def deduplicate(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """The table with one row of each class: that of the smallest id (of several such rows, the one whose text has the
+    smallest hash; of equal rows, any). Rows of a null id all stay."""
+    classes = common.cut(_classed(docs, threshold, n, bands, rows, weighted).where("id is not null").groupBy("id", "x", "class_id").agg(F.count("*").alias("c")))
+    stays = classes.groupBy("class_id").agg(F.min(F.struct("id", "x")).alias("first"))
+    marked = common.look_up(classes, stays, "class_id").select("id", "x", "c", (F.struct("id", "x") == F.col("first")).alias("keep"))
+    marked = common.cut(marked.where("not keep or c > 1"))
+    gone, again, key = common.fresh(docs, "gone", "again", "x")
+    named = docs.withColumn(key, F.xxhash64("text"))
+
+    def matching(rows: DataFrame) -> tuple[DataFrame, object]:
+        other = common.near(common.cut(rows.select(F.col("id").alias(gone), F.col("x").alias(again))))
+        return other, (named["doc_id"].cast("long") == other[gone]) & (named[key] == other[again])
+
+    dropped, on = matching(marked.where("not keep"))
+    kept = named.join(dropped, on, "left_anti")
+    repeats = common.cut(marked.where("keep"))
+    if repeats.isEmpty():
+        return kept.drop(key)
+    other, _ = matching(repeats)
+    on = (kept["doc_id"].cast("long") == other[gone]) & (kept[key] == other[again])
+    return kept.join(other, on, "left_anti").unionByName(kept.join(other, on, "left_semi").dropDuplicates(["doc_id", key])).drop(key)

@@ -114,9 +114,58 @@ def test_prefix_join_loses_no_pair(spark):
             texts.append(" ".join(w))
     sets = [{tuple(w[i : i + n]) for n in [min(5, len(w))] for i in range(len(w) - n + 1)} for w in map(words, texts)]
     want = {(j, i) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    ids = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    pairs = neardup.alike(ids, ids.select("id", F.col("id").alias("cls")), 0.8, 5).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    assert {tuple(r) for r in neardup.verified(ids, pairs, 0.8, 5).collect()} == want and len(want) > 500
+    ids = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("x", F.xxhash64("t"))
+    found = neardup._sets(ids, ids.select(F.col("id").alias("node"), F.struct("id", "x").alias("rep")), 5, False)
+    pairs = neardup._alike(found, ids.select(F.col("id").alias("node"), F.col("id").alias("cls")), 0.8)
+    got = {tuple(r) for r in neardup._verified(pairs, found, 0.8).collect()}
+    assert got == want and len(want) > 500
+
+
+def multiset(text, n=5):
+    w = words(text)
+    n = min(n, len(w))
+    return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else Counter()
+
+
+def test_near_duplicates_in_a_template_group_lose_no_link(spark):
+    """A hot group of one form with pairs from 0.6 to 0.95: the classes are the components of all pairs from 0.8 on."""
+    rng = np.random.default_rng(11)
+    form = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(220):
+        w = list(form)
+        for at in rng.integers(0, 90, int(rng.integers(1, 5))):
+            w[at] = f"x{int(rng.integers(0, 40))}"
+        texts.append(" ".join(w))
+    texts += [" ".join(["one same line of text here"] * k) for k in (4, 5, 9, 40)]  # weights tell these apart
+    bags = [multiset(t) for t in texts]
+    parent = list(range(len(texts)))
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                a, b = parent[i], parent[j]
+                links += 1
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == parent and links > 300 and len(set(parent)) > 3
+
+
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    rows = [(2, "a first text of some words here"), (5, "a first text of some words here"), (5, "quite another text that nobody else has"), (7, None), (7, None), (8, ""), (None, "x y"), (None, "x y"), (9, "x y"), (9, "x y")]
+    df = spark.createDataFrame([(*r, "g", "x") for r in rows], "doc_id long, text string, __gone string, X string")
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicate(df).collect()), key=str)
+    want = [(2, rows[0][1]), (5, rows[2][1]), (7, None), (8, ""), (9, "x y"), (None, "x y"), (None, "x y")]
+    assert got == sorted(want, key=str) and neardup.deduplicate(df).columns == df.columns
+
+
+def test_look_up_deals_hot_keys_over_tasks(spark):
+    from gridlake.llm import common
+
+    many = spark.range(1000).select((F.col("id") % 7).alias("k"), "id").unionByName(spark.range(500).select(F.lit(3).cast("long").alias("k"), F.col("id")))
+    one = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = common.look_up(many, one, "k", hot=200)
+    assert got.columns == ["k", "id", "v"] and got.count() == 1500 and got.where("v <> k * 10").isEmpty()
 
 
 def test_dart_signatures_estimate_weighted_similarity():
@@ -133,21 +182,58 @@ def test_dart_signatures_estimate_weighted_similarity():
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
-    rows = [{int(t): float(rng.random()) for t in rng.integers(0, 30, 6)} for _ in range(500)]
-    index = toxicity.BlockMaxIndex(rows, 30, block=16)
-    for _ in range(20):
-        q = {int(t): float(rng.random()) for t in rng.integers(0, 30, 4)}
-        dots = sorted(((-round(sum(q.get(t, 0) * w for t, w in r.items()), 12), i) for i, r in enumerate(rows)))
-        assert [i for i, _ in index.search(q, 10)] == [i for s, i in dots[:10] if s < 0]
+    rows = [{int(t): float(rng.random()) for t in rng.integers(0, 90, 6)} for _ in range(500)]
+    rows[::50] = [{}] * 10
+    for share in (1, 12, 500):  # no list, some and all lists as full rows
+        index = toxicity.BlockMaxIndex(rows, 90, block=16, share=share)
+        asked = [{int(t): float(rng.random()) for t in rng.integers(0, 90, 1 + n % 6)} for n in range(30)] + [{}]
+        got = index.search([(np.array(sorted(q), dtype=np.int64), np.array([q[t] for t in sorted(q)])) for q in asked], 10)
+        for q, found in zip(asked, got):
+            dots = sorted(((-round(sum(q.get(t, 0) * w for t, w in r.items()), 12), i) for i, r in enumerate(rows)))
+            assert [i for i, _ in found] == [i for s, i in dots[:10] if s < 0]
+    assert toxicity.BlockMaxIndex([], 3).search([(np.array([1]), np.array([1.0]))], 5) == [[]]
+
+
+def test_toxicity_scores_by_brute_force():
+    """The whole score of short texts: TF-IDF over all terms, cosine, votes, curve."""
+    rng = np.random.default_rng(4)
+    made = lambda bad: " ".join([f"word{x}" for x in rng.integers(0, 60, 30)] + ["rotten"] * bad)
+    rows = [(i, made(i % 4 == 0), int(i % 4 == 0)) for i in range(120)]
+    m = toxicity.fit_texts(rows)
+    words, stems = m.vocabulary
+    vec = []
+    for i in m.ids:
+        tf = Counter()
+        for w, n in Counter(re.findall(r"[^\W_]+", rows[i][1].lower())).items():
+            tf["=" + w] += n
+            if len(w) > toxicity.STEM:
+                tf["^" + w[: toxicity.STEM]] += n
+        v = {f: (1 + np.log(n)) * m.weight[(words if f[0] == "=" else stems)[f[1:]]] for f, n in tf.items()}
+        vec.append({f: x / np.sqrt(sum(y * y for y in v.values())) for f, x in v.items()})
+    assert len(words) == len({w for _, t, _ in rows for w in t.split()})  # no term is left out
+    for i, (score, evidence) in zip(m.ids, m.score([rows[i][1] for i in m.ids])):
+        q = vec[m.ids.index(i)]
+        near = sorted((-round(sum(q.get(f, 0) * x for f, x in v.items()), 9), j) for j, v in enumerate(vec))[: m.k]
+        w = [min(1, -s) / (1 - min(1, -s) + toxicity.NEAR) * m.class_weight[m.toxic[j]] for s, j in near]
+        vote = sum(x for x, (_, j) in zip(w, near) if m.toxic[j]) / sum(w)
+        assert abs(score - 1 / (1 + np.exp(-(m.curve[0] * vote + m.curve[1])))) < 1e-6
+        assert evidence[0][0] == i and abs(evidence[0][1] - 1) < 1e-9
+    fresh = [made(1) for _ in range(10)] + [made(0) for _ in range(10)]
+    assert [s >= 0.5 for s, _ in m.score(fresh)] == [True] * 10 + [False] * 10
 
 
 def test_copy_of_a_toxic_example_without_a_telling_term_is_found():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) for _ in range(60)]
     model = toxicity.fit_texts([(i, t, int(i < 2)) for i, t in enumerate(texts)])  # two toxic ones: no term passes the test
-    assert not model.vocabulary
-    assert [i for i, t in enumerate(texts) if model.score(t)[0] >= 0.5] == [0, 1]
-    assert model.score(texts[1])[1][0] == (1, 1.0)
+    got = model.score([*texts, None, "", "unheard"])
+    assert [i for i, (s, _) in enumerate(got) if s >= 0.5] == [0, 1]
+    assert got[1][1][0] == (1, 1.0) and got[-1] == got[-2] == got[-3] and got[-1][1] == []
+
+
+def test_words_that_differ_late_are_two_terms():
+    long = "a" * 60
+    assert toxicity.features(long + "b")[0] != toxicity.features(long + "c")[0]
 
 
 def test_held_out_quality(spark):
