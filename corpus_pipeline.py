@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that meets the target weights, with each document's weight and probability."""
-    return mixing.mix(docs).where("kept").select(*COLUMNS, "topic", "n_tokens", "weight", "prob")
+    return mixing.mix(docs, {"topic": mixing.TOPIC_TARGETS}).where("kept").select(*COLUMNS, "topic", "n_tokens", "weight", "prob")
 
 
 STAGES = [

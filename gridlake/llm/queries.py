@@ -46,7 +46,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(common.read(spark, sf_dir, "documents"))
+    out = mixing.mix(common.read(spark, sf_dir, "documents"), {"topic": mixing.TOPIC_TARGETS})
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("weight"), 12).alias("weight"), F.round(F.col("prob"), 9).alias("prob"), "kept")
 
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": sql.DECONTAMINATION, "op8_mixing": sql.mixing_sql()}
+    return {"op3_decontamination": sql.DECONTAMINATION, "op8_mixing": sql.mixing_sql(mixing.TOPIC_TARGETS)}

@@ -25,12 +25,12 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
-def mixing_sql(rounds: int = 12, temper: float = 0.7, budget: float = 0.5) -> str:
-    """The raking, unrolled."""
+def mixing_sql(topics: dict[str, float], rounds: int = 40, temper: float = 0.7, budget: float = 0.5) -> str:
+    """The raking, unrolled far enough to have met the targets; topics: their target shares."""
     margins = ("source", "lang", "topic")
     out = [
         r"""WITH r AS (
-  SELECT doc_id, source, lang, coalesce(source, chr(0)) AS cs, coalesce(lang, chr(0)) AS cg,
+  SELECT doc_id, text, source, lang, coalesce(source, chr(0)) AS cs, coalesce(lang, chr(0)) AS cg,
     CASE WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), 'http://') OR contains(coalesce(text, ''), 'https://') THEN 'links' WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
       WHEN contains(coalesce(text, ''), '!!') THEN 'shouting' WHEN contains(coalesce(text, ''), chr(10)) THEN 'article' ELSE 'note' END AS topic,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS n_tokens
@@ -40,7 +40,9 @@ def mixing_sql(rounds: int = 12, temper: float = 0.7, budget: float = 0.5) -> st
     cols = {"source": "cs", "lang": "cg", "topic": "ct"}
     for m in margins:
         c = cols[m]
-        out.append(f"raw_{c} AS (SELECT {c}, pow(sum(mass) / (SELECT sum(mass) FROM w0), {temper}) AS a, max(mass) AS top FROM w0 GROUP BY {c}), aim_{c} AS (SELECT {c}, a / (SELECT sum(a) FROM raw_{c} WHERE top > 0) AS aim FROM raw_{c})")
+        share = "sum(mass) / (SELECT sum(mass) FROM w0)"
+        aim = f"pow({share}, {temper})" if m != "topic" else "CASE ct " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in topics.items()) + f" ELSE {share} END"
+        out.append(f"raw_{c} AS (SELECT {c}, {aim} AS a, max(mass) AS top FROM w0 GROUP BY {c}), aim_{c} AS (SELECT {c}, a / (SELECT sum(a) FROM raw_{c} WHERE top > 0) AS aim FROM raw_{c})")
     out.append("s0 AS (SELECT w0.*, aim_cs.aim AS x_cs, aim_cg.aim AS x_cg, aim_ct.aim AS x_ct, mass / (SELECT sum(mass) FROM w0) AS weight FROM w0 JOIN aim_cs USING (cs) JOIN aim_cg USING (cg) JOIN aim_ct USING (ct))")
     k = 0
     for _ in range(rounds):
@@ -53,6 +55,6 @@ q AS (SELECT *, (sum(mass) OVER () * {budget} - coalesce(sum(mass) OVER (ORDER B
 f AS (SELECT c FROM q WHERE ratio > 0 AND c * ratio <= 1 + 1e-12 ORDER BY ratio DESC, c DESC LIMIT 1),
 z AS (SELECT cs, cg, ct, mass, weight, CASE WHEN mass <= 0 THEN 1.0 ELSE least(1.0, coalesce((SELECT c FROM f) * ratio, 1.0)) END AS prob FROM q)
 SELECT doc_id, source, lang, r.topic AS topic, n_tokens, round(CASE WHEN z.mass > 0 THEN z.weight * n_tokens / z.mass ELSE 0 END, 12) AS weight, round(prob, 9) AS prob,
-  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 7)) AS BIGINT) / 268435456.0 < prob AS kept
+  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || coalesce(r.text, ''))), 1, 7)) AS BIGINT) / 268435456.0 < prob AS kept
 FROM r JOIN z ON r.cs = z.cs AND r.cg = z.cg AND r.topic = z.ct""")
     return ",\n".join(out)

@@ -46,7 +46,9 @@ def lengths(texts: list[str | None], path: str) -> np.ndarray:
 
 
 def length_histogram(docs: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "text") -> DataFrame:
-    """n_tokens, n_docs, docs_at_least, tokens_at_least, docs_at_most, truncated_total (tokens left if every text is cut at n_tokens)."""
+    """n_tokens, n_docs, docs_at_least, tokens_at_least, docs_at_most, share_at_most (of all documents: a length is the
+    q-quantile if it is the first whose share reaches q), truncated_total (tokens left if every text is cut at n_tokens).
+    Texts are encoded once: the histogram is written before its sums are taken."""
     common.text_batches(docs.sparkSession)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +57,7 @@ def length_histogram(docs: DataFrame, path: str = DEFAULT_VOCABULARY, text: str
             yield pd.DataFrame({"n_tokens": n, "c": c})
 
     part = docs.select(F.col(text).alias("t")).mapInPandas(count, "n_tokens long, c long")
-    return suffix_sums(part.groupBy("n_tokens").agg(F.sum("c").alias("n_docs")))
+    return suffix_sums(common.cut(part.groupBy("n_tokens").agg(F.sum("c").alias("n_docs"))))
 
 
 def suffix_sums(hist: DataFrame, span: int = 1024) -> DataFrame:
@@ -71,7 +73,8 @@ def suffix_sums(hist: DataFrame, span: int = 1024) -> DataFrame:
     above = F.sum("n_docs").over(own) + F.col("ad")
     out = j.select("n_tokens", "n_docs", above.alias("docs_at_least"), (F.sum("mass").over(own) + F.col("am")).alias("tokens_at_least"), (F.sum("n_docs").over(low) + F.col("bd")).alias("docs_at_most"), below.alias("below"))
     cut = F.col("below") + F.col("n_tokens") * (F.col("docs_at_least") - F.col("n_docs"))
-    return out.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "docs_at_most", cut.alias("truncated_total"))
+    share = F.col("docs_at_most") / (F.col("docs_at_most") + F.col("docs_at_least") - F.col("n_docs"))
+    return out.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "docs_at_most", share.alias("share_at_most"), cut.alias("truncated_total"))
 
 
 def total(hist: DataFrame) -> DataFrame:
@@ -86,5 +89,4 @@ def truncated_total(hist: DataFrame, limit: int) -> DataFrame:
 
 def quantile(hist: DataFrame, q: float) -> DataFrame:
     """The smallest length that at least the share q of documents does not exceed; null if there are none."""
-    all_docs = hist.agg(F.sum("n_docs").alias("__n"))
-    return hist.crossJoin(F.broadcast(all_docs)).where(F.col("docs_at_most") >= F.lit(q) * F.col("__n")).agg(F.min("n_tokens").alias("n_tokens"))  # one row on the right
+    return hist.where(F.col("share_at_most") >= F.lit(q)).agg(F.min("n_tokens").alias("n_tokens"))
