@@ -2,12 +2,15 @@
 
 STAGES are (name, function) pairs in order; each function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet and read again as the next one's docs.
+
+Defined cases, for every stage: rows with null or empty columns stay rows, an empty table gives an empty table, other
+columns than those of documents are dropped. Null and empty texts have no language (the second stage rejects them) and
+are never near-duplicates or contaminated; repeated rows are judged alike, and the third stage keeps one of them; rows
+without an id are judged by their text alone and never dropped as copies.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +18,24 @@ from gridlake.llm import common, decontaminate, langid, mixing, neardup, toxicit
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text is rejected as toxic from this score on, and for its language below this one or without a letter.
-TOXIC_FROM, LANGUAGE_FROM = 0.5, 0.3
+#: A text is rejected as toxic from this score on. It is rejected for its language without a letter, or below this value
+#: of the best language's own regression, which is about 0 for texts unlike all examples and 1 for texts like the best
+#: language's, however many languages are learned.
+TOXIC_FROM, LIKENESS_FROM = 0.5, 0.05
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_col="__score", evidence_col="__evidence").where(F.col("__score") < TOXIC_FROM).select(*COLUMNS)
+    score, evidence = common.fresh(docs, "score", "evidence")
+    return toxicity.score(docs, model, score_col=score, evidence_col=evidence).where(F.col(score) < TOXIC_FROM).select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or like no language that the labels name, go."""
-    out = langid.identify(docs, langid.fit(docs), lang_col="__pred", score_col="__score")
-    return out.where((F.col("__pred") != "und") & (F.col("__score") >= LANGUAGE_FROM)).select(*COLUMNS)
+    lang, score, likeness = common.fresh(docs, "lang", "score", "likeness")
+    out = langid.identify(docs, langid.fit(docs), lang_col=lang, score_col=score, likeness_col=likeness)
+    return out.where((F.col(lang) != "und") & (F.col(likeness) >= LIKENESS_FROM)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is a written table in the shared folder of the cluster."""
-    folder = f"{common.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents table; each result is a written table in the shared folder of the cluster, and goes
+    once the next one is written."""
     docs = common.read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        at = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+    for _, stage in STAGES:
+        done = common.cut(stage(spark, docs, sf_dir))
+        common.discard(docs)
+        docs = done
     return docs

@@ -1,16 +1,16 @@
 """Main text of web pages, with a host suffix array for boilerplate.
 
 A page is cut into blocks at block-level tags; character references are decoded and white space is
-collapsed. Markup sorts the blocks: what stands in menus, headers, footers, asides, adverts, notices,
+collapsed. Markup sorts the blocks: what stands in menus, headers, footers, sidebars, adverts, notices,
 forms, scripts, styles or reader comments is page furniture and goes; what stands in an article or main
-element is the article and stays; the rest is undecided. The token streams of a host's pages outside their
-articles are concatenated and their suffixes sorted: substrings of ``run`` or more tokens that occur in
-distinct pages are boilerplate. Undecided text they cover is removed, its unique runs are kept.
+element is the article and stays; the rest is undecided. The token streams of a host's distinct pages, articles
+included, are concatenated and their suffixes sorted: an undecided token goes if a substring of ``run`` or more
+tokens around it, however long, also occurs in another page of the host. Unique runs are kept.
 
-A host's streams are sorted in shards of bounded token mass; each shard reports the ``run``-token heads of
-its suffixes, and heads that meet again in another shard count as repeated too, so the covered places are
-those of one array over the whole host. Equal streams count as one page if the articles beside them are
-equal too, and else as distinct pages.
+A host's streams are sorted in shards of bounded token mass; each shard of several reports the ``run``-token heads
+of its suffixes, and heads that meet again in another shard count as repeated too: a substring repeats exactly if
+all its heads do, so the covered places are those of one array over the whole host. Wholly equal pages of a host
+count as one. Hosts without undecided text need no array.
 
 Defined cases: null or empty html gives an empty text; truncated tags end with the page; a null url is a
 host of its own; repeated rows get equal results. Other columns are ignored.
@@ -32,9 +32,9 @@ from . import common
 from .urls import host_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Fixed word lists of HTML element and role names.
-RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "title", "textarea", "svg", "math", "object", "select", "button", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "title", "textarea", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
@@ -43,7 +43,8 @@ BLOCK = {
 CONTAINER = BLOCK - {"br", "hr", "p", "li", "dd", "dt", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "head", "dialog", "dir"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|sidebar|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|comment-\w+|disqus|reply|replies|share|sharing|social|related|widgets?|toolbar|pagination|pager)(?:$|[\s_-]|\d)", re.I)
+#: Names, as classes or ids, of what the result leaves out: adverts, notices, sidebars, menus, headers, footers, reader comments.
+_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|sidebar|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|comment-\w+|disqus)(?:$|[\s_-]|\d)", re.I)
 _SPACE = re.compile(r"\s+")
 ARTICLE, FURNISHED, OPEN = 0, 1, 2
 
@@ -51,13 +52,11 @@ ARTICLE, FURNISHED, OPEN = 0, 1, 2
 def _furnished(name: str, attrs: str, article: bool) -> bool:
     if name in FURNITURE or (name == "header" and not article):
         return True
-    if "=" not in attrs and "hidden" not in attrs.lower():
+    if "=" not in attrs:
         return False
     for key, a, b, c in _ATTR.findall(attrs):
-        key, value = key.lower(), a or b or c
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if (key in ("class", "id") and name not in ("html", "body", "main") and _NAMED.search(value)) or (key == "role" and value.lower() in ROLES):
+        value = a or b or c
+        if (key.lower() in ("class", "id") and name not in ("html", "body", "main", "article") and _NAMED.search(value)) or (key.lower() == "role" and value.lower() in ROLES):
             return True
     return False
 
@@ -122,150 +121,178 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def stream(found: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Tokens outside the article with their kind; each block ends with a mark."""
-    out: list[tuple[str, int]] = []
+def stream(found: list[tuple[str, int]]) -> tuple[list[str], list[int]]:
+    """Tokens of a page, each block ending with a mark, and the places of the undecided ones."""
+    words: list[str] = []
+    undecided: list[int] = []
     for t, kind in found:
-        if kind != ARTICLE:
-            out += [(w, kind) for w in t.split(" ")]
-            out.append(("¶", FURNISHED))
-    return out
-
-
-def stream_key(host: str, tokens: list[tuple[str, int]]) -> bytes:
-    return hashlib.blake2b("\x00".join([host, *(f"{k}{w}" for w, k in tokens)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        own = t.split(" ")
+        if kind == OPEN:
+            undecided += range(len(words), len(words) + len(own))
+        words += [*own, "¶"]
+    return words, undecided
 
 
-def article_key(found: list[tuple[str, int]]) -> bytes:
-    """Tells pages apart whose streams are equal: by their articles."""
-    return hashlib.blake2b("\x00".join(t for t, kind in found if kind == ARTICLE).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def stream_key(host: str | None, found: list[tuple[str, int]]) -> bytes:
+    return hashlib.blake2b("\x00".join([host or "", *(f"{k}{t}" for t, k in found)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def sorted_heads(ids: np.ndarray, run: int) -> np.ndarray:
-    """Class numbers of the suffixes by their first ``run`` tokens: the suffix array by prefix doubling, stopped once heads of that length are told apart."""
-    rank, length = ids.astype(np.int64), 1
-    while length < run:
-        step = min(length, run - length)
-        ahead = np.full(rank.size, -1, dtype=np.int64)
-        ahead[: rank.size - step] = rank[step:]
+def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): the suffixes in order, by prefix doubling, and what each shares with the one before it. The ids must
+    tell all suffixes apart (a mark of its own after each page)."""
+    n = ids.size
+    rank, levels, step = np.unique(ids, return_inverse=True)[1].astype(np.int64), [], 1
+    while True:
+        levels.append(rank)
+        ahead = np.full(n, -1, dtype=np.int64)
+        ahead[: max(0, n - step)] = rank[step:]
         order = np.lexsort((ahead, rank))
         new = np.concatenate(([0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(ahead[order]) != 0))))
         rank = np.empty_like(rank)
         rank[order] = new
-        length += step
-    return rank
-
-
-def repeated_heads(pages: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the concatenated streams: page of each place, place within the page, hash of the head, whether distinct pages share it. Heads that run over a page's end are left out."""
-    sizes = np.array([len(p) for p in pages])
-    words = np.array([w for p in pages for w in p], dtype=object)
+        step *= 2
+        if new[-1] == n - 1:
+            break
+    a, b = order[:-1].copy(), order[1:].copy()
+    lcp = np.zeros(n, dtype=np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        level = levels[k]
+        inside = (a < n) & (b < n)
+        same = np.zeros(a.size, dtype=bool)
+        same[inside] = level[a[inside]] == level[b[inside]]
+        lcp[1:][same] += 1 << k
+        a[same] += 1 << k
+        b[same] += 1 << k
+    return order, lcp
+
+
+def shared_lengths(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the concatenated streams: page and place of each token, and the length of the longest substring from there on
+    that another page has too."""
+    sizes = np.array([len(p) + 1 for p in pages])
     page = np.repeat(np.arange(len(pages)), sizes)
-    place = np.arange(words.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = place + run <= sizes[page] if words.size else np.zeros(0, bool)
-    if not whole.any():
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z.astype(bool)
-    rank = sorted_heads(pd.factorize(words)[0], run)
-    h = pd.util.hash_array(words, categorize=True)
-    key = np.zeros(words.size, dtype=np.uint64)
+    place = np.arange(page.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    words = pd.factorize(np.array([w for p in pages for w in [*p, ""]], dtype=object))[0].astype(np.int64)
+    last = place == sizes[page] - 1
+    words[last] = words.max() + 1 + np.arange(len(pages))  # a mark of its own ends each page
+    order, lcp = suffix_array(words)
+    of = page[order]
+
+    def reach(of: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        """What each suffix shares with the nearest one before it of another page: the least of the steps between."""
+        new = np.concatenate(([True], of[1:] != of[:-1]))
+        run, big = np.cumsum(new), np.int64(page.size + 1)
+        return np.minimum.accumulate(lcp - run * big) + run * big
+
+    after = np.concatenate((lcp[1:], [0]))
+    longest = np.maximum(reach(of, lcp), reach(of[::-1], after[::-1])[::-1])
+    out = np.empty_like(longest)
+    out[order] = longest
+    return page[~last], place[~last], out[~last]
+
+
+def head_keys(words: list[str], run: int) -> np.ndarray:
+    """Hashes of the ``run`` tokens from each place on, as far as the page goes."""
+    if len(words) < run:
+        return np.zeros(0, dtype=np.int64)
+    h = pd.util.hash_array(np.array(words, dtype=object), categorize=True)
+    key = np.zeros(h.size - run + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(run):
-            key[: words.size - j] = key[: words.size - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:]
-    page, place, key, rank = page[whole], place[whole], key[whole], rank[whole]
-    order = np.lexsort((page, rank))
-    r, p = rank[order], page[order]
-    first = np.concatenate(([True], r[1:] != r[:-1]))
-    group = np.cumsum(first) - 1
-    last = np.concatenate((np.flatnonzero(first)[1:] - 1, [r.size - 1]))
-    many = p[np.flatnonzero(first)] != p[last]
-    again = np.empty(r.size, dtype=bool)
-    again[order] = many[group]
-    return page, place, key.view(np.int64), again
-
-
-def keep_text(found: list[tuple[str, int]], covered: set[int]) -> str:
-    """Article blocks whole, undecided blocks without their covered tokens."""
-    out, at = [], 0
+            key = key * np.uint64(0x9E3779B97F4A7C15) + h[j : h.size - run + 1 + j]
+    return key.view(np.int64)
+
+
+def keep_text(found: list[tuple[str, int]], covered: np.ndarray | None = None) -> tuple[str, int]:
+    """Article blocks whole and undecided blocks without their covered tokens; how many tokens went."""
+    out, at, gone = [], 0, 0
     for t, kind in found:
         if kind == ARTICLE:
             out.append(t)
-            continue
-        words = t.split(" ")
-        if kind == OPEN:
-            left = " ".join(w for j, w in enumerate(words) if at + j not in covered)
+        elif kind == OPEN:
+            words = t.split(" ")
+            left = words if covered is None else [w for j, w in enumerate(words) if not covered[at + j]]
+            gone += len(words) - len(left)
             if left:
-                out.append(left)
-        at += len(words) + 1
-    return "\n".join(out)
+                out.append(" ".join(left))
+        at += t.count(" ") + 2
+    return "\n".join(out), gone
 
 
-def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (undecided tokens that repeats cover) for every row of pages."""
+def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000) -> DataFrame:
+    """page_id, url, text, n_chars, n_repeated (undecided tokens that repeats cover) for every row of pages. Each page is
+    parsed once; what its array needs is written."""
     spark = pages.sparkSession
     common.text_batches(spark)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
-    def streams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            got = [(h, s, b) for h, x in zip(p["host"], p["html"]) if (s := stream(b := blocks(x)))]
-            yield pd.DataFrame({"host": [h for h, _, _ in got], "sk": [stream_key(h, s) for h, s, _ in got], "article": [article_key(b) for _, _, b in got], "words": [[w for w, _ in s] for _, s, _ in got], "open": [[i for i, (_, k) in enumerate(s) if k == OPEN] for _, s, _ in got]})
-
-    seen = rows.select("host", "html").mapInPandas(streams, "host string, sk binary, article binary, words array<string>, open array<int>")
-    seen = common.cut(seen.groupBy("host", "sk").agg((F.min("article") != F.max("article")).alias("several"), F.first("words").alias("words"), F.first("open").alias("open")))
-    shards = seen.groupBy("host").agg(F.ceil(F.sum(F.size("words")) / shard_tokens).alias("shards"), F.sum(F.size("open")).alias("undecided")).where("undecided > 0")
-    dealt = seen.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("sk"), F.col("shards")))
-
-    def heads(p: pd.DataFrame) -> pd.DataFrame:
-        page, place, key, again = repeated_heads([list(w) for w in p["words"]], run)
-        again = again | p["several"].to_numpy(dtype=bool)[page]
-        one, at = np.unique(key, return_index=True)
-        open_sets = [np.asarray(o, dtype=np.int64) for o in p["open"]]
-        touch = np.zeros(page.size, dtype=bool)
-        for i, o in enumerate(open_sets):
-            if o.size:
-                mine = np.flatnonzero(page == i)
-                touch[mine] = np.searchsorted(o, place[mine] + run) > np.searchsorted(o, place[mine])
-        t = np.flatnonzero(touch)
-        host, sk = p["host"].iloc[0], p["sk"].to_numpy(dtype=object)
-        a = pd.DataFrame({"host": host, "key": one, "again": again[at], "sk": None, "place": -1})
-        b = pd.DataFrame({"host": host, "key": key[t], "again": again[t], "sk": sk[page[t]], "place": place[t]})
-        return (pd.concat([a, b]) if p["shards"].iloc[0] > 1 else b).astype({"host": object})
-
-    found = common.cut(dealt.groupBy("host", "shard").applyInPandas(heads, "host string, key long, again boolean, sk binary, place int"))
-    elsewhere = found.where("sk is null").groupBy("host", "key").agg((F.max("again") | (F.count("*") > 1)).alias("more")).where("more").select("host", "key", "more")
-    hit = found.where("sk is not null").join(elsewhere, ["host", "key"], "left").where(F.col("again") | F.coalesce("more", F.lit(False)))
-    marks = common.cut(hit.groupBy("sk").agg(F.collect_set("place").alias("places")))
-    marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
-
-    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            texts, keys, found_blocks = [], [], []
+            texts, keys, kept = [], [], []
             for h, x in zip(p["host"], p["html"]):
                 b = blocks(x)
                 undecided = any(k == OPEN for _, k in b)
-                texts.append(None if undecided else keep_text(b, set()))
-                keys.append(stream_key(h, stream(b)) if undecided else None)
-                found_blocks.append([{"t": t, "k": k} for t, k in b] if undecided else None)
-            yield pd.DataFrame({"page_id": p["page_id"], "url": p["url"], "text": texts, "key": keys, "blocks": found_blocks})
-
-    parsed = rows.mapInPandas(keyed, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, key binary, blocks array<struct<t:string,k:int>>")
-    joined = parsed.join(marks, parsed["key"] == marks["sk"], "left")
+                texts.append(None if undecided else keep_text(b)[0])
+                keys.append(stream_key(h, b))
+                kept.append([{"t": t, "k": k} for t, k in b])
+            yield pd.DataFrame({"page_id": p["page_id"], "url": p["url"], "host": p["host"], "text": texts, "sk": keys, "blocks": kept})
+
+    kinds = dict(rows.dtypes)
+    seen = common.cut(rows.mapInPandas(parsed, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, text string, sk binary, blocks array<struct<t:string,k:int>>"))
+    decided = seen.where("text is not null").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_repeated"))
+    undecided = seen.where("text is null")
+    if undecided.isEmpty():
+        return _counted(decided)
+
+    hosts = undecided.select(F.col("host").alias("open_host")).distinct()
+    mine = seen.join(hosts, F.col("host").eqNullSafe(F.col("open_host")), "left_semi")
+    tokens = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.length(b["t"]) - F.length(F.replace(b["t"], F.lit(" "), F.lit(""))) + 2)
+    streams = common.cut(mine.groupBy("host", "sk").agg(F.first("blocks").alias("blocks")).withColumn("n", tokens))
+    shards = streams.groupBy(F.col("host").alias("of_host")).agg(F.ceil(F.sum("n") / shard_tokens).alias("shards"))
+    dealt = streams.join(shards, F.col("host").eqNullSafe(F.col("of_host"))).select("host", "sk", "blocks", "shards", F.pmod(F.xxhash64("sk"), F.col("shards")).alias("shard"))
+
+    def places(p: pd.DataFrame) -> pd.DataFrame:
+        """Undecided places that repeats of the shard cover (key null); of several shards also all heads, with their places where they touch undecided text."""
+        host, several = p["host"].iloc[0], p["shards"].iloc[0] > 1
+        words, spots = zip(*[stream([(x["t"], x["k"]) for x in b]) for b in p["blocks"]])
+        page, place, longest = shared_lengths(list(words))
+        out = []
+        for i, sk in enumerate(p["sk"]):
+            own = page == i
+            long = np.where(longest[own] >= run, longest[own], 0)
+            end = np.maximum.accumulate(np.arange(long.size) + long)
+            at = np.array(spots[i], dtype=np.int64)
+            out.append(pd.DataFrame({"host": host, "sk": sk, "key": None, "place": at[end[at] > at] if at.size else at}))
+            if several:
+                keys = head_keys(words[i], run)
+                touch = np.searchsorted(at, np.arange(keys.size) + run) > np.searchsorted(at, np.arange(keys.size))
+                uniq = np.unique(keys)
+                out += [pd.DataFrame({"host": host, "sk": None, "key": uniq, "place": -1}), pd.DataFrame({"host": host, "sk": sk, "key": keys[touch], "place": np.flatnonzero(touch)})]
+        got = pd.concat(out)
+        alone = got["sk"].isna()
+        return pd.concat([got[~alone], got[alone].drop_duplicates("key")]).astype({"key": "Int64"})
+
+    found = common.cut(dealt.groupBy("host", "shard").applyInPandas(places, "host string, sk binary, key long, place int"))
+    there = found.where("key is null").select("sk", "place", F.lit(1).alias("length"))
+    elsewhere = found.where("sk is null").groupBy("host", "key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("host").alias("eh"), F.col("key").alias("ek"))
+    over = found.where("sk is not null and key is not null").join(elsewhere, F.col("host").eqNullSafe(F.col("eh")) & (F.col("key") == F.col("ek")), "left_semi").select("sk", "place", F.lit(run).alias("length"))
+    marks = there.unionByName(over).groupBy("sk").agg(F.collect_set(F.struct("place", "length")).alias("marks"))
+    joined = undecided.join(marks, "sk", "left")
 
     @F.pandas_udf("text string, n long")
-    def finish(text: pd.Series, found_blocks: pd.Series, places: pd.Series) -> pd.DataFrame:
-        out, n = [], []
-        for t, b, p in zip(text, found_blocks, places):
-            if b is None:
-                out.append(t)
-                n.append(0)
-                continue
-            covered = {q + j for q in (p if p is not None else []) for j in range(run)}
+    def finish(found_blocks: pd.Series, marked: pd.Series) -> pd.DataFrame:
+        out = []
+        for b, m in zip(found_blocks, marked):
             pairs = [(x["t"], x["k"]) for x in b]
+            covered = np.zeros(sum(t.count(" ") + 2 for t, _ in pairs), dtype=bool)
+            for x in m if m is not None else ():
+                covered[x["place"] : x["place"] + x["length"]] = True
             out.append(keep_text(pairs, covered))
-            opened = {i for i, (_, k) in enumerate(stream(pairs)) if k == OPEN}
-            n.append(len(opened & covered))
-        return pd.DataFrame({"text": out, "n": n})
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    done = joined.select("page_id", "url", finish("blocks", "marks").alias("x")).select("page_id", "url", F.col("x.text").alias("text"), F.col("x.n").alias("n_repeated"))
+    return _counted(decided.unionByName(done))
+
 
-    done = joined.select("page_id", "url", finish("text", "blocks", "places").alias("x"))
-    return done.select("page_id", "url", F.col("x.text").alias("text"), F.char_length(F.col("x.text")).cast("long").alias("n_chars"), F.col("x.n").alias("n_repeated"))
+def _counted(done: DataFrame) -> DataFrame:
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")

@@ -33,7 +33,7 @@ def _symbols() -> np.ndarray:
     """Code point to symbol: itself if a letter, else 0."""
     global _letters
     if _letters is None:
-        _letters = np.array([i if chr(i).isalpha() else 0 for i in range(0x20000)], dtype=np.uint32)
+        _letters = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint32)
     return _letters
 
 
@@ -44,7 +44,7 @@ def presence(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         if not t:
             continue
         a = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        a = table[np.minimum(a, 0x1FFFF)]
+        a = table[a]
         a = np.concatenate(([np.uint32(0)], a, [np.uint32(0)]))
         a = a[(a != 0) | np.concatenate(([True], a[:-1] != 0))]
         if a.size < 2 or not a.any():
@@ -103,13 +103,14 @@ class LanguageModel:
         e = np.exp(self.beta * (values - values.max(1, keepdims=True)))
         return e / e.sum(1, keepdims=True)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label, probability, and the label's own regression value (1: like its examples, -1: like the rest)."""
         if not self.labels:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), -1.0)
         values, lettered = self.values(texts)
         p = self.probabilities(values)
         best = p.argmax(1)
-        return [self.labels[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, p.max(1), 0.0)
+        return [self.labels[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, p.max(1), 0.0), np.where(lettered, values.max(1), -1.0)
 
 
 def fit_texts(texts: list[str], langs: list[str], landmarks: int = 96, ridge: float = 1e-4) -> LanguageModel:
@@ -151,37 +152,41 @@ def fit_texts(texts: list[str], langs: list[str], landmarks: int = 96, ridge: fl
     return model
 
 
-def fit(docs: DataFrame, per_language: int = 400, total: int = 3000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
-    """Learn from at most ``per_language`` rows of each language and about ``total`` rows in all (the
-    documented bound of the sample), taken in a fixed pseudo-random order from the learning fold."""
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("g")).where(common.learnable(F.col("d")) & F.col("g").isNotNull() & F.col("t").isNotNull())
-    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
+def fit(docs: DataFrame, per_language: int = 400, total: int = 3000, languages: int = 300, longest: int = 50_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
+    """Learn from a sample of the learning fold in a fixed pseudo-random order. Documented bounds: the ``languages``
+    most frequent labels, about ``per_language`` rows of each, at most 2 x ``total`` rows of at most ``longest``
+    characters in all."""
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("g")).where(common.learnable(F.col("d")) & F.col("g").isNotNull() & (F.char_length("t") <= longest))
+    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().orderBy(F.col("count").desc(), "g").limit(languages).collect()}
     if not counts:
         return fit_texts([], [])
     each = max(8, min(per_language, total // len(counts)))
     share = F.create_map(*[F.lit(v) for g, n in sorted(counts.items()) for v in (g, min(1.0, each / n))])
-    u = F.pmod(common.order_key(F.col("d")), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(u < share[F.col("g")]).select("d", "t", "g").collect()
-    got.sort(key=lambda r: (r["d"], r["t"]))
+    key = common.order_key(F.col("d"), F.col("t"))
+    u = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
+    got = rows.where(u < F.coalesce(F.try_element_at(share, F.col("g")), F.lit(0.0))).orderBy(key, "d", "t", "g").limit(2 * total).collect()
+    got.sort(key=lambda r: (r["d"], r["t"], r["g"]))
     model = fit_texts([r["t"] for r in got], [r["g"] for r in got])
     del got
     common.give_back()
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """The table with ``lang_col`` and ``score_col``, from the whole text alone."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", likeness_col: str = "likeness") -> DataFrame:
+    """The table with ``lang_col``, ``score_col`` and ``likeness_col``, from the whole text alone. The score compares
+    the learned languages; the likeness does not depend on how many there are, and tells texts in none of them."""
     spark = docs.sparkSession
     common.text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, likeness double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            lang, score = shared.value.predict(s.tolist())
-            yield pd.DataFrame({"lang": lang, "score": score})
+            lang, score, likeness = shared.value.predict(s.tolist())
+            yield pd.DataFrame({"lang": lang, "score": score, "likeness": likeness})
 
     (tmp,) = common.fresh(docs, "lid")
-    keep = [c for c in docs.columns if c.lower() not in (lang_col.lower(), score_col.lower())]
+    new = {lang_col: "lang", score_col: "score", likeness_col: "likeness"}
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], udf(F.col(f"`{text}`")).alias(tmp))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"{tmp}.lang").alias(lang_col), F.col(f"{tmp}.score").alias(score_col))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"{tmp}.{f}").alias(n) for n, f in new.items()])

@@ -2,11 +2,15 @@
 
 A rule has a priority, a label, keywords and a regex over the normalised text (words joined by single
 spaces). A text is tried only against rules whose keywords it holds. Detections are intervals of the
-normalised text; one that lies within another of better priority, or within a longer one, is suppressed.
-What is left gives the labels and the score. Base phrases are rules that are never suppressed.
+normalised text, and overlapping ones are resolved in this order: one that overlaps, contains or lies within one of
+better priority goes; among equal priorities one that lies within another or overlaps one that starts before it goes
+(at one start the longer one stays, then the label first in order). What is left gives the labels and the score.
+Base phrases are rules that are never suppressed.
 
-Defined cases: null and wordless texts have no detections, no labels and score 0; equal intervals go to
-the better priority, then to the label first in order; repeated rows get equal results. Other columns
+Rules are hand-written signatures of licence texts, tags, notices and addresses (``signatures``), and hand-written
+names of licences in the forms in which texts name them (``NAMES``, ``FORMS``).
+
+Defined cases: null and wordless texts have no detections, no labels and score 0; repeated rows get equal results. Other columns
 are ignored.
 """
 
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, signatures
 
 #: phrase: label. Places where these words stand one after the other are always reported.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -44,19 +48,10 @@ FORMS: list[tuple[str, int, float, str, str]] = [
     ("tag", 1, 1.0, "spdx", "spdx license identifier NAME"), ("grant", 2, 0.95, "licensed", "(?:is |are )?licensed under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"), ("release", 3, 0.9, "under", "(?:released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?"),
     ("named", 4, 0.8, "licen", "NAME licen[cs]e"), ("field", 5, 0.7, "licen", "licen[cs]e (?:is )?(?:the )?NAME"),
 ]
-#: label, priority, certainty, keyword, regex: signatures without a licence's name. Fixed values.
-OTHERS: list[tuple[str, int, float, str, str]] = [
-    ("mit", 2, 0.95, "permission", "permission is hereby granted free of charge to any person obtaining a copy"), ("bsd", 2, 0.9, "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("isc", 2, 0.95, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee"), ("unlicense", 2, 0.95, "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("public-domain", 6, 0.7, "public domain", "(?:released into|placed in|dedicated to|in) the public domain"), ("all-rights-reserved", 7, 0.6, "all rights reserved", "all rights reserved"), ("proprietary", 6, 0.7, "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("gpl", 5, 0.8, "general public license", "gnu (?:lesser |library |affero )?general public license"), ("creative-commons", 6, 0.6, "creative commons", "creative commons(?: licen[cs]e)?"), ("apache", 6, 0.7, "apache", "apache licen[cs]e"), ("copyright", 8, 0.5, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
-]
-
-
 def rules() -> list[tuple[str, int, float, str, str]]:
     """All rules in order: label, priority, certainty, keywords, regex. Keywords are word starts: ``&`` joins groups that must all occur, ``|`` alternatives in a group."""
     made = [(label, pr, c, f"{kw}&{own}", form.replace("NAME", name)) for label, (own, name) in NAMES.items() for _, pr, c, kw, form in FORMS]
-    return sorted([*made, *OTHERS], key=lambda r: (r[1], r[0], r[4]))
+    return sorted([*made, *signatures.table()], key=lambda r: (r[1], r[0], r[4]))
 
 
 def gate(lowered: Column, keywords: set[str]) -> Column:
@@ -83,7 +78,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, table: list[tuple[
     table = rules_ if table is None else table
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
     # the texts' own gate: the forms' keywords and the phrases' words; licence names are looked for behind it
-    gates = {f[3] for f in FORMS} | {o[3] for o in OTHERS} | set(base) if table is rules_ else {w for r in table for w in r[3].split("&")[0].split("|")} | set(base)
+    gates = {f[3] for f in FORMS} | {r[3] for r in signatures.table()} | set(base) if table is rules_ else {w for r in table for w in r[3].split("&")[0].split("|")} | set(base)
     rows = rows.select("d", "h", common.word_count(F.col("t")).alias("n_words"), "t", F.lower("t").alias("lt"))
     rows = rows.select("d", "h", "n_words", F.when(gate(F.col("lt"), gates), F.col("t")).alias("t"))
     rows = rows.select("d", "h", "n_words", F.when(F.col("t").isNotNull(), F.concat(F.lit(" "), F.array_join(common.words_of(F.col("t")), " "), F.lit(" "))).alias("norm"))
@@ -121,9 +116,17 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, table: list[tuple[
     end = F.sum(F.col("gap") + F.col("len")).over(upto)
     spans = each.select("d", "h", "pr", "label", "c", end.alias("e"), (end - F.col("len")).alias("s"))
 
-    # 3. suppression: going by start, longer and better first, one that ends within what came before is contained
-    before = W.partitionBy("d", "h").orderBy("s", F.col("e").desc(), "pr", "label").rowsBetween(W.unboundedPreceding, -1)
-    left = spans.withColumn("reach", F.max("e").over(before)).where(F.col("reach").isNull() | (F.col("e") > F.col("reach")))
+    # 3. suppression, by running maxima over starts and ends in order. A detection's start shows how far those of its own
+    # priority reach that begin before it; its end shows how far better ones reach that begin before that end.
+    levels = sorted({r[1] for r in table})
+    points = spans.select("d", "h", "pr", "label", "c", "s", "e", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("e").alias("at"), F.lit(0).alias("opens")))).alias("x"))
+    points = points.select("d", "h", "pr", "label", "c", "s", "e", "x.at", "x.opens")
+    before = W.partitionBy("d", "h").orderBy("at", "opens", "pr", F.col("e").desc(), "label").rowsBetween(W.unboundedPreceding, -1)
+    opened = lambda which: F.max(F.when((F.col("opens") == 1) & which, F.col("e"))).over(before)
+    seen = points.select("*", *[opened(F.col("pr") == q).alias(f"own{q}") for q in levels], *[opened(F.col("pr") < q).alias(f"better{q}") for q in levels])
+    pick = lambda stem: F.coalesce(*[F.when(F.col("pr") == q, F.col(f"{stem}{q}")) for q in levels], F.lit(-1))
+    judged = seen.groupBy("d", "h", "pr", "label", "s", "e").agg(F.max("c").alias("c"), F.min(F.when(F.col("opens") == 1, pick("own"))).alias("own"), F.max(F.when(F.col("opens") == 0, pick("better"))).alias("better"))
+    left = judged.where((F.col("own") <= F.col("s")) & (F.col("better") <= F.col("s")))
     more = left.groupBy("d", "h").agg(F.collect_set("label").alias("ml"), F.max("c").alias("mc"))
     out = head.join(more.select(F.col("d").alias("md"), F.col("h").alias("mh"), "ml", "mc"), F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh")), "left")
     labels = F.array_sort(F.array_union("bl", F.coalesce("ml", F.array().cast("array<string>"))))

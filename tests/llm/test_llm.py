@@ -268,7 +268,7 @@ def test_neighbours_recall_and_exclusions(spark):
 
 def test_html_blocks():
     page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">buy</div><article><h1>Head &amp; x</h1><p><b>one\n two<br><p>three &copy;</p><div class="comments">me too</div></article><footer>f</footer>'
-    assert htmltext.keep_text(htmltext.blocks(page), set()) == "Head & x\none two\nthree ©"
+    assert htmltext.keep_text(htmltext.blocks(page))[0] == "Head & x\none two\nthree ©"
     assert htmltext.blocks(None) == [] and htmltext.blocks("<p") == [] and htmltext.blocks("a <b") == [("a", htmltext.OPEN)]
 
 
@@ -292,12 +292,54 @@ def test_equal_streams_beside_different_articles_are_repeats(spark):
         assert got == {i: f"story {i}" for i in range(5)} | {5 + i: f"{shared}\none story" for i in range(2)}
 
 
+def test_article_keeps_all_but_what_the_contract_names():
+    page = """<html><head><title>t</title></head><body><article><h1>A</h1><div class="related-work">B</div><p id="share">C</p><p hidden>D</p><p>E <math><mi>x</mi></math></p><object>F</object>
+    <div class="social widget">G</div><aside>no</aside><div class="ad">no</div><form>no <input></form><script>no</script><section class="comments">no</section><p>H&amp;&#73;</p></article><footer>no</footer></body></html>"""
+    text = htmltext.keep_text(htmltext.blocks(page))[0]
+    assert text.split("\n") == ["A", "B", "C", "D", "E x", "F", "G", "H&I"]
+
+
+def test_repeats_of_other_pages_by_brute_force(spark):
+    """Pages without markup for the article: what goes is every token in a run of six or more that another page has."""
+    rng = np.random.default_rng(6)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 40, int(rng.integers(3, 14)))) for _ in range(12)]
+    pages = [[lines[i] if rng.random() < 0.7 else " ".join(f"w{x}" for x in rng.integers(0, 40, 9)) for i in rng.integers(0, 12, 8)] for _ in range(14)]
+    toks = [[w for line in p for w in [*line.split(), "¶"]] for p in pages]
+    want = []
+    for i, t in enumerate(toks):
+        heads = {tuple(o[k : k + 6]) for j, o in enumerate(toks) if o != t for k in range(len(o) - 5)}
+        gone = {k + x for k in range(len(t) - 5) if tuple(t[k : k + 6]) in heads for x in range(6)}
+        kept = " ".join(w for k, w in enumerate(t) if k not in gone or w == "¶").split("¶")
+        want.append("\n".join(x.strip() for x in kept if x.strip()))
+    df = spark.createDataFrame([(i, "http://h.test/x" if i % 2 else "http://H.test/", "<body>" + "".join(f"<div>{line}</div>" for line in p)) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for shard in (200_000, 100):
+        assert {r["page_id"]: r["text"] for r in htmltext.extract(df, shard_tokens=shard).collect()} == dict(enumerate(want))
+    order, lcp = htmltext.suffix_array(np.array([1, 2, 1, 2, 1, 9]))
+    assert order.tolist() == [0, 2, 4, 1, 3, 5] and lcp.tolist() == [0, 3, 1, 0, 2, 0]
+
+
+def test_html_odd_pages(spark):
+    rows = [(1, None, None, "x"), (2, "no url", "", "x"), (None, "http://a/", "<p>" + "long " * 50_000, "x"), (4, "http://a/", "plain", "y"), (4, "http://a/", "plain", "y"), (5, "http://b/", "<div", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = sorted((r["page_id"] or 0, len(r["text"]), r["n_chars"]) for r in htmltext.extract(df).collect())
+    assert got == [(0, 249_999, 249_999), (1, 0, 0), (2, 0, 0), (4, 5, 5), (4, 5, 5), (5, 0, 0)]
+
+
 def test_token_histogram(spark):
     texts = ["a b c", "", None, "hello world again", "x"] * 3
     n = tokens.lengths(texts, tokens.DEFAULT_VOCABULARY)
     for r in tokens.suffix_sums(spark.createDataFrame([(int(k), v) for k, v in Counter(n.tolist()).items()], "n_tokens long, n_docs long"), span=2).collect():
         k = r["n_tokens"]
         assert (r["docs_at_least"], r["tokens_at_least"], r["docs_at_most"], r["truncated_total"]) == ((n >= k).sum(), n[n >= k].sum(), (n <= k).sum(), np.minimum(n, k).sum())
+        assert r["share_at_most"] == (n <= k).mean()
+    hist = tokens.length_histogram(docs_of(spark, texts))
+    assert tokens.total(hist).first().asDict() == {"n_docs": n.size, "n_tokens": n.sum()}
+    for limit in (0, 1, 2, 3, 50):
+        assert tokens.truncated_total(hist, limit).first()["n_tokens"] == np.minimum(n, limit).sum()
+    for q in (0.0, 0.2, 0.5, 0.61, 1.0):
+        assert tokens.quantile(hist, q).first()["n_tokens"] == np.sort(n)[max(0, int(np.ceil(q * n.size - 1e-9)) - 1)]
+    none = tokens.length_histogram(docs_of(spark, texts).limit(0))
+    assert tokens.quantile(none, 0.5).first()["n_tokens"] is None and tokens.total(none).first()["n_tokens"] == 0
 
 
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
@@ -312,7 +354,7 @@ def test_url_rules(spark, url, host, path, rule, verdict):
 
 def test_mixing_meets_the_marginals(spark):
     rows = [(i, "t " * (1 + i % 7), "en" if i % 3 else "fr", f"s{i % 4}") for i in range(400)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), {"lang": {"en": 0.5, "fr": 0.5}}, rounds=20).toPandas()
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), {"lang": {"en": 0.5, "fr": 0.5}}).toPandas()
     share = out.groupby("lang").weight.sum()
     assert abs(share["en"] - 0.5) < 0.01 and abs((out.prob * out.n_tokens).sum() / out.n_tokens.sum() - 0.5) < 1e-6
 
@@ -329,9 +371,96 @@ def test_license_scan_brute_force(spark):
     assert got[1]["labels"] == "apache-2" and got[4]["labels"] == "all-rights-reserved" and got[6]["score"] == 0
 
 
-def test_pipeline_stages(spark):
+def test_license_labels_by_brute_force(spark):
+    """Labels and score of texts with overlapping detections, against a plain reading of the rules."""
+    texts = [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. Copyright 2020 X. All rights reserved.",
+        "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0 and SPDX-License-Identifier: MIT", "This is released under the MIT license, cc by nc 4.0 license. GNU General Public License version 3",
+        "licensed under the GNU Lesser General Public License version 2.1, creativecommons.org/licenses/by-nc-sa/4.0", "nothing here", "", None, "the bsd license the bsd 3 clause license", "copyleft copyright 1999 " * 30,
+        "either version 2 of the License, or (at your option) any later version of the GNU General Public License",
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    several = 0
+    for i, t in enumerate(texts):
+        norm = " " + " ".join(words(t)) + " "
+        spans = sorted({(p, label, m.start(), m.end(), c) for label, p, c, _, rx in licenses.rules() for m in re.finditer(f" (?:{rx})(?= )", norm)})
+        stay = []
+        for p, label, s, e, c in spans:
+            other = [x for x in spans if x[:4] != (p, label, s, e) and x[2] < e and x[3] > s]
+            if not any(x[0] < p or (x[0] == p and (x[2], -x[3], x[1]) < (s, -e, label)) for x in other):
+                stay.append((label, c))
+        several += len(spans) > len(stay)
+        base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in norm}
+        assert got[i]["labels"] == ",".join(sorted(base | {label for label, _ in stay})), t
+        assert got[i]["score"] == max([1.0 if base else 0.0, *(c for _, c in stay)]), t
+    assert several >= 4
+
+
+def test_language_of_rare_letters_and_of_no_learned_language():
+    texts = ["the cat sat on the mat and the dog ran"] * 20 + ["der hund und die katze sind auf dem dach"] * 20
+    m = langid.fit_texts([f"{t} {i}" for i, t in enumerate(texts)], ["en"] * 20 + ["de"] * 20)
+    lang, score, likeness = m.predict(["the dog and the cat", chr(0x20001) * 5, "123 !", "και το σκυλι ετρεχε στον κηπο"])
+    assert lang[0] == "en" and lang[1] != "und" and lang[2] == "und" and score[2] == 0
+    assert likeness[0] > 0.5 and max(likeness[1], likeness[3]) < 0.1 and likeness[2] == -1
+
+
+PLANTED = "doc_id long, text string, lang string, source string, n_chars long, score string, __lang string"
+
+
+def planted(spark, folder):
+    """A small corpus with known answers: toxic, letterless, foreign, copied, near-copied and contaminated texts, and odd rows."""
+    rng = np.random.default_rng(9)
+    en, de = ["the", "and", "house", "garden", "water", "people", "morning", "letter", "winter", "travel", "little", "under", "bridge"], ["der", "und", "haus", "garten", "wasser", "leute", "morgen", "brief", "zwischen", "reise", "kleine", "unter", "bruecke"]
+    made = lambda words, n: " ".join(f"{words[x]}{'ing' if words is en and rng.random() < 0.1 else ''}{chr(97 + rng.integers(0, 26)) if rng.random() < 0.3 else ''}" for x in rng.integers(0, 13, n))
+    rows, toxic = [], {}
+    for i in range(160):
+        bad = i % 8 == 0
+        t = made(en if i % 2 else de, 70) + (" you rotten vermin" if bad else "")
+        rows.append((i, t, "en" if i % 2 else "de", f"s{i % 3}"))
+        toxic[i] = int(bad)
+    clean = [r for r in rows if not toxic[r[0]]]
+    passage = " ".join(f"bench{k}" for k in range(20))
+    rows += [(200, "12345 !!", "en", "s0"), (201, "και το σκυλι ετρεχε στον κηπο ", None, "s0"), (202, None, "en", "s1"), (203, "", None, None)]
+    rows += [(300 + k, clean[k][1], "en", "s1") for k in range(5)] + [(310 + k, clean[k + 10][1].rsplit(" ", 2)[0] + " altered", "en", "s1") for k in range(5)]
+    rows += [(320 + k, made(en, 60) + " " + passage, "en", "s2") for k in range(3)] + [clean[3]]
+    spark.createDataFrame([(*r, len(r[1] or ""), "x", "y") for r in rows], PLANTED).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return rows, toxic, passage
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on what its predecessor kept, against a plain reading of what it has to do."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "near_dedup", "decontamination", "mixing"]
-    out = corpus_pipeline.run(spark, SF)
-    assert set(corpus_pipeline.COLUMNS) <= set(out.columns) and 0 < out.count() < 200
+    folder = f"file://{tmp_path}"
+    rows, toxic, passage = planted(spark, folder)
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert name == "mixing" or docs.columns == corpus_pipeline.COLUMNS
+        kept.append(Counter(r["doc_id"] for r in docs.select("doc_id").collect()))
+    want = Counter(r[0] for r in rows if not toxic.get(r[0]))
+    assert kept[0] == want
+    for i in (200, 201, 202, 203):
+        del want[i]
+    assert kept[1] == want
+    texts = {r[0]: r[1] for r in rows if r[0] in want}
+    parent = {i: i for i in texts}
+    bags = {i: multiset(t) for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if j < i and (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                a, b = parent[i], parent[j]
+                parent = {k: min(a, b) if p in (a, b) else p for k, p in parent.items()}
+    assert kept[2] == Counter(i for i in texts if parent[i] == i) and len(kept[2]) == len(texts) - 10
+    assert kept[3] == Counter(i for i in kept[2] if passage not in texts[i]) and len(kept[3]) == len(kept[2]) - 3
+    assert not kept[4] - kept[3] and 0.3 < len(kept[4]) / len(kept[3]) < 0.7
+    out = docs.toPandas()
+    assert (out["prob"] > 0).all() and set(out["topic"]) == {"note"}
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
