@@ -6,11 +6,11 @@ similarity (sum of least counts over sum of greatest counts) of ``threshold`` on
 candidates together, and a candidate is accepted only by its exact similarity:
 
 1. Stars: each text of a bucket is held against one text of it, as many pairs as entries. That joins groups of copies,
-   however large, without their pairs. A second star, around a text of the bucket's largest class, takes what the first left.
-2. All texts of buckets that still hold several classes meet by a prefix join: elements are ordered from rare to
-   common, and texts that reach the threshold share one of their first few. Only pairs of different classes are made
-   there, and bounds on lengths and positions leave out pairs that cannot reach the threshold, and no other. So
-   every pair of a bucket is settled, at every size.
+   however large, without their pairs. Further stars, around texts of the bucket's largest class, take what the first left.
+2. What is left of a bucket with several classes are pairs with a text outside its largest class. These texts meet
+   all texts of such buckets by a prefix join: elements are ordered from rare to common, and texts that reach the
+   threshold share one of their first few. Bounds on lengths and positions leave out pairs that cannot reach the
+   threshold, and no other. So every pair of a bucket is settled, at every size.
 
 Classes are the components of the links, found by joins over written tables until no label moves. Buckets, leaders and
 classes of many rows are dealt over several tasks.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import dartminhash as dart
 
-BANDS, ROWS, STARS = 42, 7, 2
+BANDS, ROWS, STARS = 42, 7, 3
 _CHARS = 150_000
 #: Prefix join: counters of how common elements are (by their low bits). Collisions change the order, never the result.
 _COUNTERS = 1 << 18
@@ -119,13 +119,11 @@ def _classed(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, w
         found = common.cut(_verified(common.cut(pairs), sets, threshold))
         links = found if links is None else links.unionByName(found)
         classes, met = components(links), placed.select("node", "size", "key")
-        if star + 1 < STARS:
-            placed = common.cut(_around_largest(_with_classes(met, classes), star + 1))
+        placed = common.cut(_around_largest(_with_classes(met, classes), star + 1))
 
     # all that is left between classes
-    rest = _with_classes(met, classes)
-    several = rest.groupBy("key").agg(F.min("cls").alias("l"), F.max("cls").alias("h")).where("l <> h").select("key")
-    need = common.cut(rest.join(common.near(common.cut(several)), "key", "left_semi").select("node", "cls").distinct())
+    need = placed.groupBy("node").agg(F.max(F.col("node") != F.col("lead")).alias("outside"))
+    need = common.cut(_with_classes(need, classes))
     found = common.cut(_verified(common.cut(_alike(sets, need, threshold)), sets, threshold))
     if not found.isEmpty():
         classes = components(links.unionByName(found))
@@ -193,8 +191,9 @@ def prefixes(s: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.nd
 
 
 def _alike(sets: DataFrame, need: DataFrame, threshold: float) -> DataFrame:
-    """a, b: all pairs of the texts in ``need`` (node, cls) of different classes that may reach the threshold, by a
-    prefix join on their elements: pairs that it leaves out share too little."""
+    """a, b: all pairs of the texts in ``need`` (node, outside, cls) that are of different classes, of which one is
+    outside, and that may reach the threshold, by a prefix join on their elements: pairs that it leaves out share too
+    little. Pairs that fail the bounds never leave the join."""
     spark = sets.sparkSession
     mine = common.cut(sets.join(need, "node"))
     slots = mine.select(F.explode("s").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("c")).toPandas()  # at most _COUNTERS rows
@@ -204,21 +203,21 @@ def _alike(sets: DataFrame, need: DataFrame, threshold: float) -> DataFrame:
 
     def firsts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for node, cls, s in zip(p["node"], p["cls"], p["s"]):
+            for node, outside, cls, s in zip(p["node"], p["outside"], p["cls"], p["s"]):
                 s = np.asarray(s, dtype=np.int64)
                 t, short = prefixes(s, shared.value, threshold)
                 place = np.arange(t.size)
                 other = shared.value[t & np.int64(_COUNTERS - 1)] > 1  # an element counted once is in no other set
-                yield pd.DataFrame({"t": t[other], "node": node, "cls": cls, "m": s.size, "i": place[other], "short": (place < short)[other]})
+                yield pd.DataFrame({"t": t[other], "node": node, "outside": outside, "cls": cls, "m": s.size, "i": place[other], "short": (place < short)[other]})
 
-    rows = common.cut(mine.mapInPandas(firsts, "t long, node long, cls long, m long, i long, short boolean"))
+    rows = common.cut(mine.mapInPandas(firsts, "t long, node long, outside boolean, cls long, m long, i long, short boolean"))
     common.discard(mine)
-    left = rows.where("short").select("t", F.col("node").alias("u"), F.col("cls").alias("x"), "m", "i")
-    right = rows.select("t", F.col("node").alias("v"), F.col("cls").alias("y"), F.col("m").alias("k"), F.col("i").alias("j"))
-    kinds = left.select("t", "x").distinct().join(right.select("t", "y").distinct(), "t").where("x <> y")
+    left = rows.where("short").select("t", F.col("node").alias("u"), F.col("cls").alias("x"), F.col("outside").alias("o"), "m", "i")
+    right = rows.select("t", F.col("node").alias("v"), F.col("cls").alias("y"), F.col("outside").alias("p"), F.col("m").alias("k"), F.col("i").alias("j"))
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("k")) - F.lit(1e-6))
-    fits = (F.col("m") <= F.col("k")) & _fit("m", "k", threshold) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) >= least)
-    return kinds.join(left, ["t", "x"]).join(right, ["t", "y"]).where(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    fits = (left["t"] == right["t"]) & (F.col("x") != F.col("y")) & (F.col("m") <= F.col("k")) & _fit("m", "k", threshold) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) >= least)
+    ends = [F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")]
+    return left.where("o").join(right, fits).select(*ends).unionByName(left.where("not o").join(right.where("p"), fits).select(*ends)).distinct()
 
 
 def components(links: DataFrame, most: int = 1_000_000) -> DataFrame:
