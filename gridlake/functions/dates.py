@@ -11,6 +11,10 @@ BUILTIN_FORMATS = {
     1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy",
     18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)",
     45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+    # dates and times of East Asian locales, which files name by id alone
+    27: "[$-404]e/m/d", 28: '[$-404]e"年"m"月"d"日"', 29: '[$-404]e"年"m"月"d"日"', 30: "[$-404]m/d/yy", 31: '[$-404]yyyy"年"m"月"d"日"', 32: '[$-404]h"時"mm"分"', 33: '[$-404]h"時"mm"分"ss"秒"',
+    34: '上午/下午h"時"mm"分"', 35: '上午/下午h"時"mm"分"ss"秒"', 36: "[$-404]e/m/d", 50: "[$-404]e/m/d", 51: '[$-404]e"年"m"月"d"日"', 52: '[$-404]yyyy"年"m"月"', 53: '[$-404]m"月"d"日"', 54: '[$-404]e"年"m"月"d"日"',
+    55: '上午/下午h"時"mm"分"', 56: '上午/下午h"時"mm"分"ss"秒"', 57: '[$-404]yyyy"年"m"月"', 58: '[$-404]m"月"d"日"',
 }
 
 
@@ -54,3 +58,8 @@ def format_csv_date(t: Column, fmt: str) -> Column:
     for tok, lit in re.findall(r"(YYYY|YY|MM|M|DD|D|HH|H|mm|m|ss|s)|([^YMDHms]+|.)", fmt):
         pieces.append(F.date_format(t, java[tok]) if tok else F.lit(lit))
     return F.concat(*pieces)
+
+
+def builtin_format(fmt_id: Column) -> Column:
+    """Code of a built-in number format, null for ids without one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in sorted(BUILTIN_FORMATS.items()) for x in (k, v)]), fmt_id.cast("int"))

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from gridlake.errors import AuthoringError
 
-#: Names that are stored with a prefix because they came after the file format (fixed values, a part of them).
-MODERN = {
-    "ARRAYTOTEXT", "BYCOL", "BYROW", "CHOOSECOLS", "CHOOSEROWS", "CONCAT", "DROP", "EXPAND", "FILTER", "HSTACK", "IFNA", "IFS", "ISOMITTED", "LAMBDA", "LET", "MAKEARRAY", "MAP", "MAXIFS", "MINIFS",
-    "PERCENTILE.EXC", "PERCENTILE.INC", "RANDARRAY", "RANK.EQ", "REDUCE", "SCAN", "SEQUENCE", "SINGLE", "SORTBY", "STDEV.P", "STDEV.S", "SWITCH", "TAKE", "TEXTAFTER", "TEXTBEFORE",
-    "TEXTJOIN", "TEXTSPLIT", "TOCOL", "TOROW", "UNIQUE", "VALUETOTEXT", "VAR.P", "VAR.S", "VSTACK", "WRAPCOLS", "WRAPROWS", "XLOOKUP", "XMATCH", "XOR",
-}
+#: Functions that are stored with a prefix because they came after the file format (fixed values).
+MODERN = set(
+    """FILTER SORT SORTBY UNIQUE SEQUENCE RANDARRAY XLOOKUP XMATCH LAMBDA LET BYROW BYCOL MAKEARRAY MAP REDUCE SCAN ISOMITTED VSTACK HSTACK TOROW TOCOL WRAPROWS WRAPCOLS TAKE DROP EXPAND
+    CHOOSEROWS CHOOSECOLS TEXTJOIN CONCAT TEXTBEFORE TEXTAFTER TEXTSPLIT ARRAYTOTEXT VALUETOTEXT IFS SWITCH MAXIFS MINIFS AGGREGATE ACOT ACOTH COT COTH CSC CSCH SEC SECH ARABIC BASE DECIMAL
+    COMBINA PERMUTATIONA GAMMA GAUSS PHI MUNIT BITAND BITOR BITXOR BITLSHIFT BITRSHIFT IMCOSH IMCOT IMCSC IMCSCH IMSEC IMSECH IMSINH IMTAN DAYS ISOWEEKNUM IFNA NUMBERVALUE SHEET SHEETS
+    FORMULATEXT ISFORMULA ENCODEURL WEBSERVICE FILTERXML UNICHAR UNICODE XOR PDURATION RRI BETA.DIST BETA.INV BINOM.DIST BINOM.DIST.RANGE BINOM.INV CHISQ.DIST CHISQ.DIST.RT CHISQ.INV
+    CHISQ.INV.RT CHISQ.TEST CONFIDENCE.NORM CONFIDENCE.T COVARIANCE.P COVARIANCE.S EXPON.DIST F.DIST F.DIST.RT F.INV F.INV.RT F.TEST GAMMA.DIST GAMMA.INV GAMMALN.PRECISE HYPGEOM.DIST
+    LOGNORM.DIST LOGNORM.INV MODE.MULT MODE.SNGL NEGBINOM.DIST NORM.DIST NORM.INV NORM.S.DIST NORM.S.INV PERCENTILE.EXC PERCENTILE.INC PERCENTRANK.EXC PERCENTRANK.INC POISSON.DIST
+    QUARTILE.EXC QUARTILE.INC RANK.AVG RANK.EQ SKEW.P STDEV.P STDEV.S T.DIST T.DIST.2T T.DIST.RT T.INV T.INV.2T T.TEST VAR.P VAR.S WEIBULL.DIST Z.TEST CEILING.PRECISE FLOOR.PRECISE
+    ISO.CEILING ERF.PRECISE ERFC.PRECISE""".split()
+)
 _PIECE = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*'!?|\[[^\]]*\])|(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)(\d{1,7})(?![A-Za-z0-9_.(!])|(?<![A-Za-z0-9_.])((?:_xlfn\.|_xlws\.)*)([A-Za-z][A-Za-z0-9.]*)(?=\()|([A-Za-z_\\][A-Za-z0-9_.]*)""")
 
 
@@ -66,3 +71,12 @@ def translated(formula: Column, d_col: Column, d_row: Column) -> Column:
             yield pd.Series([None if x is None else translate(x, int(a), int(b)) for x, a, b in zip(f, c, r)])
 
     return udf(formula, d_col, d_row)
+
+
+def mangled(formula: Column) -> Column:
+    @F.pandas_udf("string")
+    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for f in parts:
+            yield pd.Series([None if x is None else mangle(x) for x in f])
+
+    return udf(formula)

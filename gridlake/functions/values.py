@@ -86,3 +86,52 @@ def csv_value(field: Column) -> Column:
     ts = dates.csv_date(field)
     kind = F.when(field.isNull() | (field == ""), "null").when(num.isNotNull(), "number").when(ts.isNotNull(), "date").otherwise("string")
     return F.struct(kind.alias("kind"), num.alias("num"), F.when(kind == "string", field).alias("str"), F.when(kind == "date", ts).alias("ts"))
+
+
+def literal_number(text: Column) -> Column:
+    """Struct num, str of an operand's text: a plain decimal literal is a number, all else stays as it is."""
+    num = F.when(F.trim(text).rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), F.trim(text).try_cast("double"))
+    return F.struct(num.alias("num"), F.when(num.isNull(), text).alias("str"))
+
+
+def operand(type_: Column, text: Column) -> Column:
+    """A validation operand as stored: without a leading ``=``, a number only if it is a literal and the rule is no list and no formula."""
+    bare = F.regexp_replace(text, "^=", "")
+    as_text = F.struct(F.lit(None).cast("double").alias("num"), bare.alias("str"))
+    return F.when(type_.isin("list", "custom"), as_text).otherwise(literal_number(bare))
+
+
+def flag(text: Column, mode: str = "strict") -> Column:
+    """A stored boolean. present: on unless it says no; strict: on only if it says yes; tristate: null where it says neither."""
+    yes, no = text.isin("1", "true"), text.isin("0", "false")
+    if mode == "present":
+        return ~F.coalesce(no, F.lit(False))
+    if mode == "strict":
+        return F.coalesce(yes, F.lit(False))
+    return F.when(yes, True).when(no, False)
+
+
+def guid(text: Column) -> Column:
+    """{XXXXXXXX-XXXX-XXXX-XXXX-XXXXXXXXXXXX} of any spelling, null for what is none."""
+    bare = F.regexp_replace(F.trim(text), "^\\{?([0-9A-Fa-f]{8})-?([0-9A-Fa-f]{4})-?([0-9A-Fa-f]{4})-?([0-9A-Fa-f]{4})-?([0-9A-Fa-f]{12})\\}?$", "{$1-$2-$3-$4-$5}")
+    return F.when(bare.rlike("^\\{[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\\}$"), F.upper(bare))
+
+
+def pivot_scalar(kind: Column, num: Column, string: Column, boolean: Column, ts: Column, err: Column) -> Column:
+    """Struct num, str of what a pivot takes from a cell: a finite number, a text (booleans, dates and errors as text), or
+    a blank (both null). The kind of a formula is its result's."""
+    finite = ~F.isnan(num) & (F.abs(num) != float("inf"))
+    text = F.when(kind.isin("string", "richText", "hyperlink"), string).when(kind == "boolean", F.when(boolean, "TRUE").otherwise("FALSE")).when(kind == "date", iso_text(ts)).when(kind == "error", err)
+    return F.struct(F.when((kind == "number") & finite, num).alias("num"), text.alias("str"))
+
+
+#: What the guards ask of a cell's kind.
+GUARDS = {"isErrorValue": ("error",), "isFormulaValue": ("formula", "sharedFormula"), "isSharedFormulaValue": ("sharedFormula",), "isDataTableFormulaValue": ("dataTable",), "isRichTextValue": ("richText",), "isHyperlinkValue": ("hyperlink",)}
+
+
+def is_kind(guard: str, kind: Column) -> Column:
+    return F.coalesce(kind.isin(*GUARDS[guard]), F.lit(False))
+
+
+def is_error_code(text: Column) -> Column:
+    return F.coalesce(text.isin(*sorted(ERRORS)), F.lit(False))

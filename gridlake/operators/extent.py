@@ -32,10 +32,12 @@ def used_extent(cells: DataFrame, row_props: DataFrame | None = None, merges: Da
         F.countDistinct(F.when(held, F.col("row"))).alias("actual_row_count"),
         F.coalesce(F.max(F.when(held, F.col("col"))), F.lit(0)).cast("long").alias("column_count"),
     )
-    if by:
-        return out
     for other, r, c in ((row_props, "row", None), (merges, "bottom", "right")):
-        if other is not None:
+        if other is not None and by:
+            more = other.groupBy(*by).agg(F.max(r).cast("long").alias("__r"), (F.max(c) if c else F.lit(None)).cast("long").alias("__c"))
+            out = out.join(more, by, "full").withColumn("row_count", F.greatest("row_count", "__r")).withColumn("column_count", F.coalesce(F.greatest("column_count", "__c"), F.lit(0))).drop("__r", "__c")
+            out = out.withColumn("actual_row_count", F.coalesce("actual_row_count", F.lit(0)))
+        elif other is not None:
             more = other.agg(F.max(r).cast("long").alias("__r"), (F.max(c) if c else F.lit(None)).cast("long").alias("__c"))
             out = out.join(F.broadcast(more)).withColumn("row_count", F.greatest("row_count", "__r")).withColumn("column_count", F.greatest("column_count", "__c")).drop("__r", "__c")
     return out

@@ -71,9 +71,13 @@ def records(df: DataFrame, field: str, order: str) -> DataFrame:
 
 
 def summary(df: DataFrame, fields: list[str]) -> DataFrame:
-    """min, max, whether all are whole, whether blanks occur, for each numeric field."""
-    one = [df.agg(F.lit(f).alias("field"), F.min(F.col(f).cast("double")).alias("min_value"), F.max(F.col(f).cast("double")).alias("max_value"), F.coalesce(F.bool_and(F.col(f) == F.floor(F.col(f))), F.lit(False)).alias("all_integer"), (F.count_if(F.col(f).isNull()) > 0).alias("contains_blank")) for f in fields]
-    out = one[0]
-    for x in one[1:]:
-        out = out.unionByName(x)
-    return out
+    """A row a field, in one pass over the table: min, max and whether all are whole for numeric fields that hold a
+    number (null for the others), and whether blanks occur."""
+    kinds = dict(df.dtypes)
+    found = []
+    for i, f in enumerate(fields):
+        number = kinds[f] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[f].startswith("decimal")
+        x = F.col(f).cast("double") if number else F.lit(None).cast("double")
+        found += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.bool_and(x == F.floor(x)).alias(f"c{i}"), (F.count_if(F.col(f).isNull()) > 0).alias(f"d{i}")]
+    each = [F.struct(F.lit(f).alias("field"), F.col(f"a{i}").alias("min_value"), F.col(f"b{i}").alias("max_value"), F.col(f"c{i}").alias("all_integer"), F.col(f"d{i}").alias("contains_blank")) for i, f in enumerate(fields)]
+    return df.agg(*found).select(F.explode(F.array(*each)).alias("x")).select("x.*")

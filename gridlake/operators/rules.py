@@ -172,3 +172,94 @@ def precedence(matches: DataFrame, cell: list[str]) -> DataFrame:
     """Rules that apply to a cell, by priority, cut after the first that stops."""
     before = W.partitionBy(*cell).orderBy("priority").rowsBetween(W.unboundedPreceding, -1)
     return matches.withColumn("__stop", F.coalesce(F.max(F.col("stop_if_true").cast("int")).over(before), F.lit(0))).where("__stop = 0").drop("__stop")
+
+
+_TOKEN = re.compile(r'\s*(?:(\d+(?:\.\d+)?)|"((?:[^"]|"")*)"|(\$?[A-Z]{1,3}\$?\d+)(?![A-Za-z0-9(])|([A-Za-z][A-Za-z0-9.]*)|(<=|>=|<>|[-+*/^&=<>(),%]))')
+_CALLS = {
+    "MOD": lambda a, b: F.when(b < 0, -F.pmod(-a.cast("double"), -b.cast("double"))).otherwise(F.pmod(a.cast("double"), b.cast("double"))), "ABS": F.abs, "LEN": F.length, "UPPER": F.upper, "LOWER": F.lower, "TRIM": F.trim, "INT": F.floor, "ISBLANK": lambda a: a.isNull(), "ISNUMBER": lambda a: a.try_cast("double").isNotNull(),
+    "NOT": lambda a: ~a, "AND": lambda *x: reduce(lambda a, b: a & b, x), "OR": lambda *x: reduce(lambda a, b: a | b, x), "IF": lambda c, a, b: F.when(c, a).otherwise(b), "MAX": F.greatest, "MIN": F.least, "SUM": lambda *x: reduce(lambda a, b: a + b, x),
+}
+
+
+def expression(formula: str, top: int, columns: dict[int, Column]) -> Column:
+    """Whether an expression rule holds for each row: its references are anchored at the first row of its range and move
+    with the row, so references to that row are the row's own columns. References to other rows or pinned rows, and
+    functions beyond a small set, are an error: nothing else is evaluated."""
+    tokens, at = [], 0
+    text = formula.strip().removeprefix("=")
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise AuthoringError(f"cannot read {formula!r} from {text[at:]!r} on")
+        tokens.append(m)
+        at = m.end()
+    place = 0
+
+    def op(*known: str) -> str | None:
+        nonlocal place
+        if place < len(tokens) and tokens[place][5] in known:
+            place += 1
+            return tokens[place - 1][5]
+        return None
+
+    def need(sign: str) -> None:
+        if not op(sign):
+            raise AuthoringError(f"{sign!r} is missing in {formula!r}")
+
+    def level(signs: dict, below):
+        def parse() -> Column:
+            out = below()
+            while s := op(*signs):
+                out = signs[s](out, below())
+            return out
+
+        return parse
+
+    def atom() -> Column:
+        nonlocal place
+        if op("("):
+            out = whole()
+            need(")")
+            return out
+        if op("-"):
+            return -atom()
+        if op("+"):
+            return atom()
+        if place >= len(tokens):
+            raise AuthoringError(f"{formula!r} ends too early")
+        m = tokens[place]
+        place += 1
+        if m[1] is not None:
+            out = F.lit(float(m[1]))
+        elif m[2] is not None:
+            out = F.lit(m[2].replace('""', '"'))
+        elif m[3] is not None:
+            letters, row = re.match(r"\$?([A-Z]+)(\$?\d+)", m[3]).groups()
+            col = reduce(lambda n, c: n * 26 + ord(c) - 64, letters, 0)
+            if row != str(top) or col not in columns:
+                raise AuthoringError(f"{m[3]} lies outside the row")
+            out = columns[col]
+        elif m[4] is not None and m[4].upper() in ("TRUE", "FALSE"):
+            out = F.lit(m[4].upper() == "TRUE")
+        elif m[4] is not None and m[4].upper() in _CALLS:
+            need("(")
+            args = [whole()]
+            while op(","):
+                args.append(whole())
+            need(")")
+            out = _CALLS[m[4].upper()](*args)
+        else:
+            raise AuthoringError(f"{m[0]!r} is not evaluated")
+        while op("%"):
+            out = out / 100
+        return out
+
+    power = level({"^": F.pow}, atom)
+    product = level({"*": lambda a, b: a * b, "/": lambda a, b: a / F.nullif(b, F.lit(0))}, power)
+    total = level({"+": lambda a, b: a + b, "-": lambda a, b: a - b}, product)
+    joined = level({"&": lambda a, b: F.concat(a.cast("string"), b.cast("string"))}, total)
+    whole = level({"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}, joined)
+    out = whole()
+    if place < len(tokens):
+        raise AuthoringError(f"cannot read {formula!r} from {tokens[place][0]!r} on")
+    return F.coalesce(out, F.lit(False))

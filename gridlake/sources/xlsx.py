@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from gridlake.errors import MalformedInput, UnsupportedFormat
 from gridlake.functions.dates import BUILTIN_FORMATS
-from gridlake.functions.formula import unmangle
+from gridlake.functions.formula import translate, unmangle
 from gridlake.functions.values import ERRORS
 from gridlake.session import ship_package
 
-CELLS = "workbook string, sheet_id int, sheet string, state string, row int, col int, kind string, num double, str string, bool boolean, ts timestamp_ntz, err string, formula string, result_kind string, num_fmt string, style_id int"
+CELLS = "workbook string, sheet_id int, sheet string, state string, row int, col int, kind string, num double, str string, bool boolean, ts timestamp_ntz, err string, formula string, result_kind string, num_fmt string, style_id int, shared_master string"
 LIMIT, STEP = 512 << 20, 1 << 20
 
 
@@ -66,22 +66,57 @@ class Package:
         data = self.part(name)
         if data is None:
             return
-        if b"<!ENTITY" in data[:4096]:
-            raise MalformedInput("entity declarations are refused")
+        parser = ET.XMLPullParser(events=("start", "end"))
+
+        def refused(*_: object) -> None:
+            raise MalformedInput(f"{name}: entity declarations are refused")
+
         try:
-            yield from ET.iterparse(io.BytesIO(data), events=("start", "end"))
+            if _declares_entities(data):
+                refused()
+            for at in range(0, len(data), STEP):
+                parser.feed(data[at : at + STEP])
+                yield from parser.read_events()
+            parser.close()
+            yield from parser.read_events()
         except ET.ParseError as x:
             raise MalformedInput(f"{name}: {x}") from x
 
     def rels(self, name: str) -> dict[str, str]:
         folder, _, base = name.rpartition("/")
         out = {}
-        for ev, el in self.events(f"{folder}/_rels/{base}.rels"):
+        for ev, el in self.events(f"{folder}/_rels/{base}.rels" if folder else f"_rels/{base}.rels"):
             if ev == "end" and _local(el) == "Relationship":
                 t = el.get("Target", "")
-                out[el.get("Id", "")] = t.lstrip("/") if t.startswith("/") else re.sub(r"[^/]+/\.\./", "", f"{folder}/{t}")
+                out[el.get("Id", "")] = t.lstrip("/") if t.startswith("/") else re.sub(r"[^/]+/\.\./", "", f"{folder}/{t}" if folder else t)
         return out
 
+    def book(self) -> str:
+        """The workbook part, by the package's own relationships; the usual place where they name none."""
+        return next((t for t in self.rels("").values() if re.search(r"workbook[^/]*\.xml$", t, re.I)), "xl/workbook.xml")
+
+
+def _declares_entities(data: bytes) -> bool:
+    """Whether the part declares an entity, wherever the declaration stands: expat reads the part up to its first element."""
+    from xml.parsers import expat
+
+    class Root(Exception):
+        pass
+
+    found: list[bool] = []
+
+    def root(*_: object) -> None:
+        raise Root
+
+    p = expat.ParserCreate()
+    p.EntityDeclHandler = lambda *_: found.append(True)
+    p.StartElementHandler = root
+    try:
+        p.Parse(data, True)
+    except (Root, expat.ExpatError):
+        pass
+    return bool(found)
+
 
 def _local(el: ET.Element) -> str:
     return el.tag.rpartition("}")[2]
@@ -162,8 +197,7 @@ def _decode(kind: str | None, text: str | None, inline: str | None, strings: lis
 
 def sheets_of(p: Package) -> list[tuple[int, str, str, str]]:
     """(number, name, state, part) in workbook order."""
-    root = p.rels("/_rels")  # no relationships of the package: the usual place
-    book = next((t for t in root.values() if t.endswith("workbook.xml")), "xl/workbook.xml")
+    book = p.book()
     rels, out = p.rels(book), []
     for ev, el in p.events(book):
         if ev == "end" and _local(el) == "sheet":
@@ -174,38 +208,40 @@ def sheets_of(p: Package) -> list[tuple[int, str, str, str]]:
 def parse(data: bytes, sheet: str | int | None = None, limit: int = LIMIT) -> Iterator[dict]:
     """Cells of the sheets (or of one, by name or number), row by row."""
     p = Package(data, limit)
-    rels = p.rels("xl/workbook.xml")
+    rels = p.rels(p.book())
     strings = _strings(p, next((t for t in rels.values() if t.lower().endswith("sharedstrings.xml")), None))
     formats = _formats(p, next((t for t in rels.values() if t.lower().endswith("styles.xml")), None))
     for number, name, state, part in sheets_of(p):
         if sheet is not None and sheet not in (number, name):
             continue
-        row = col = 0
         columns: dict[int, int] = {}
         row_style: int | None = None
+        masters: dict[str, tuple[str, int, int, str]] = {}
         for ev, el in p.events(part) if part else ():
             tag = _local(el)
             if ev == "start" and tag == "col" and el.get("style"):
                 columns |= dict.fromkeys(range(int(el.get("min", 1)), min(int(el.get("max", 1)), 16384) + 1), int(el.get("style")))
             elif ev == "start" and tag == "row":
-                row, col = int(el.get("r") or row + 1), 0
                 row_style = int(el.get("s")) if el.get("customFormat") in ("1", "true") and el.get("s") else None
             elif ev == "end" and tag == "c":
                 m = _REF.match(el.get("r") or "")
-                if m:
-                    col = 0
-                    for ch in m[1]:
-                        col = col * 26 + ord(ch) - 64
-                    row = int(m[2])
-                else:
-                    col += 1
+                if not m:  # a cell that does not say where it stands is dropped
+                    continue
+                col, row = _column(m[1]), int(m[2])
                 style = int(el.get("s")) if el.get("s") else row_style if row_style is not None else columns.get(col, 0)
                 fmt = formats[style] if style < len(formats) else None
                 by = {_local(c): c for c in el}
                 inline = "".join(t.text or "" for t in by["is"].iter() if _local(t) == "t") if "is" in by else None
                 got = _decode(el.get("t"), by["v"].text if "v" in by else None, inline, strings, fmt)
                 if "f" in by:
-                    got |= {"formula": by["f"].text or "", "result_kind": got["kind"], "kind": "formula"}
+                    f, si = by["f"].text or "", by["f"].get("si") if by["f"].get("t") == "shared" else None
+                    if f and si is not None:
+                        masters[si] = (f, col, row, m[0])
+                    if f or si is None:
+                        got |= {"formula": unmangle(f), "result_kind": got["kind"], "kind": "formula"}
+                    elif si in masters:  # a clone: its master's formula, moved; without a master the cached value is all there is
+                        text, of_col, of_row, at = masters[si]
+                        got |= {"formula": unmangle(translate(text, col - of_col, row - of_row)), "result_kind": got["kind"], "kind": "formula", "shared_master": at}
                 if got["kind"] != "null" and col <= 16384 and row <= 1048576:
                     yield {"sheet_id": number, "sheet": name, "state": state, "row": row, "col": col, "num_fmt": fmt, "style_id": style} | got
             elif ev == "end" and tag == "row":
@@ -249,8 +285,7 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
 def names_of(p: Package) -> list[tuple]:
     """(name, refers_to, scope, hidden, comment); the name that a sheet's filter brings is no name of the user's."""
     rows = sheets_of(p)
-    root = p.rels("/_rels")
-    book = next((t for t in root.values() if t.endswith("workbook.xml")), "xl/workbook.xml")
+    book = p.book()
     out = []
     for ev, el in p.events(book):
         if ev == "end" and _local(el) == "definedName" and el.get("name") not in (None, "_xlnm._FilterDatabase"):
@@ -315,23 +350,39 @@ def workbook_props(spark: SparkSession, path: str) -> DataFrame:
 # --- sink ---
 
 def _xml(column: str):
-    c = F.col(column)
+    return _xml_of(F.col(column))
+
+
+def _xml_of(c):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
 def rendered_rows(cells: DataFrame) -> DataFrame:
-    """row, xml: sheet rows rendered by Spark tasks; values that have no stored form become empty cells."""
+    """row, xml: sheet rows rendered by Spark tasks. Numbers that are not finite and invalid dates become empty cells;
+    rich text and links are written as their text, formulas with their cached result."""
     from gridlake.functions.address import encode_address
     from gridlake.functions.dates import date_to_serial
+    from gridlake.functions.formula import mangled
     from gridlake.functions.values import js_number
 
     ref = encode_address(F.col("row"), F.col("col"))
-    number = F.when(F.col("kind") == "date", date_to_serial(F.col("ts"))).otherwise(F.col("num"))
+    has_formula = {"formula", "result_kind"} <= set(cells.columns)
+    cells = cells.withColumns({c: F.lit(None).cast(t) for c, t in (("bool", "boolean"), ("err", "string"), ("ts", "timestamp_ntz")) if c not in cells.columns})
+    dated = (F.col("kind") == "date") | (F.col("result_kind") == "date") if has_formula else F.col("kind") == "date"
+    number = F.when(F.coalesce(dated, F.lit(False)), date_to_serial(F.col("ts"))).otherwise(F.col("num"))
     finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-    body = F.when(F.col("kind") == "string", F.concat(F.lit(' t="inlineStr"><is><t xml:space="preserve">'), _xml("str"), F.lit("</t></is></c>")))
-    body = body.when(F.col("kind").isin("number", "date") & finite, F.concat(F.when(F.col("kind") == "date", ' s="1"><v>').otherwise("><v>"), js_number(number), F.lit("</v></c>"))).otherwise("/>")
+    formula = F.when(F.col("kind") == "formula", F.concat(F.lit("<f>"), F.coalesce(_xml_of(mangled(F.col("formula"))) if has_formula else F.lit(""), F.lit("")), F.lit("</f>"))).otherwise(F.lit(""))
+    kind = F.when(F.col("kind") == "formula", F.coalesce(F.col("result_kind"), F.lit("null"))).otherwise(F.col("kind")) if has_formula else F.col("kind")
+    cached = F.col("kind") == "formula"
+    text = F.concat(F.lit(' t="str">'), formula, F.lit("<v>"), _xml("str"), F.lit("</v></c>"))
+    inline = F.concat(F.lit(' t="inlineStr"><is><t xml:space="preserve">'), _xml("str"), F.lit("</t></is></c>"))
+    body = F.when(kind.isin("string", "richText", "hyperlink"), F.when(cached, text).otherwise(inline))
+    body = body.when(kind.isin("number", "date") & finite, F.concat(F.when(kind == "date", ' s="1">').otherwise(">"), formula, F.lit("<v>"), js_number(number), F.lit("</v></c>")))
+    body = body.when(kind == "boolean", F.concat(F.lit(' t="b">'), formula, F.lit("<v>"), F.when(F.col("bool"), "1").otherwise("0"), F.lit("</v></c>")))
+    body = body.when(kind == "error", F.concat(F.lit(' t="e">'), formula, F.lit("<v>"), _xml("err"), F.lit("</v></c>")))
+    body = F.coalesce(body, F.when(cached, F.concat(F.lit(">"), formula, F.lit("</c>"))), F.lit("/>"))
     one = F.concat(F.lit('<c r="'), ref, F.lit('"'), body)
     rows = cells.select("row", F.struct("col", one.alias("x")).alias("c")).groupBy("row").agg(F.sort_array(F.collect_list("c")).alias("cs"))
     return rows.select("row", F.concat(F.lit('<row r="'), F.col("row").cast("string"), F.lit('">'), F.array_join(F.transform("cs", lambda c: c["x"]), ""), F.lit("</row>")).alias("xml"))
