@@ -79,7 +79,8 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, table: list[tuple[
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
     # the texts' own gate: the forms' keywords and the phrases' words; licence names are looked for behind it
     gates = {f[3] for f in FORMS} | {r[3] for r in signatures.table()} | set(base) if table is rules_ else {w for r in table for w in r[3].split("&")[0].split("|")} | set(base)
-    rows = rows.select("d", "h", common.word_count(F.col("t")).alias("n_words"), "t", F.lower("t").alias("lt"))
+    # a generator keeps the lower-cased text from being made again for each keyword of the gate
+    rows = rows.select("d", "h", common.word_count(F.col("t")).alias("n_words"), "t", F.explode(F.array(F.lower("t"))).alias("lt"))
     rows = rows.select("d", "h", "n_words", F.when(gate(F.col("lt"), gates), F.col("t")).alias("t"))
     rows = rows.select("d", "h", "n_words", F.when(F.col("t").isNotNull(), F.concat(F.lit(" "), F.array_join(common.words_of(F.col("t")), " "), F.lit(" "))).alias("norm"))
 

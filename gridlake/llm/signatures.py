@@ -80,8 +80,8 @@ bsl-1 | 2 | 0.95 | boost | boost software license version 1 0 august 17th 2003
 bsl-1 | 3 | 0.9 | boost | distributed under the boost software license version 1 0
 unlicense | 2 | 0.95 | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | 4 | 0.85 | unlicense org | (?:https? )?unlicense org
-wtfpl | 2 | 0.95 | do what the | do what the f[a-z]* you want to public license
-beerware | 2 | 0.95 | beer | you can buy me a beer in return
+wtfpl | 2 | 0.95 | want to public license | do what the f[a-z]* you want to public license
+beerware | 2 | 0.95 | buy me a beer | you can buy me a beer in return
 artistic-2 | 2 | 0.95 | artistic | the artistic license 2 0 copyright
 perl | 3 | 0.85 | same terms | under the same terms as perl itself
 psf-2 | 2 | 0.95 | python software | python software foundation license version 2
@@ -89,8 +89,8 @@ ofl-1.1 | 2 | 0.95 | sil open | this font software is licensed under the sil ope
 ncsa | 2 | 0.95 | deal with the software | to deal with the software without restriction
 postgresql | 2 | 0.9 | written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
 openssl | 2 | 0.95 | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
-php-3 | 2 | 0.95 | php | this product includes php software freely available from
-w3c | 2 | 0.9 | w3c | this work is being provided by the copyright holders under the following license
+php-3 | 2 | 0.95 | php software | this product includes php software freely available from
+w3c | 2 | 0.9 | copyright holders | this work is being provided by the copyright holders under the following license
 curl | 2 | 0.9 | permission | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
 unicode | 2 | 0.95 | unicode data | to deal in the data files or software without restriction
 icu | 2 | 0.9 | icu license | icu license icu 1 8 1 and later
@@ -129,7 +129,7 @@ rail | 2 | 0.9 | responsible ai | responsible ai licen[cs]e
 llama-community | 2 | 0.9 | community license | (?:llama|meta llama) [0-9 ]{0,4}community license agreement
 cdla-permissive-2 | 2 | 0.95 | community data | community data license agreement permissive version 2 0
 cdla-sharing-1 | 2 | 0.95 | community data | community data license agreement sharing version 1 0
-vim | 2 | 0.95 | vim | you may distribute modified versions of vim under
+vim | 2 | 0.95 | versions of vim | you may distribute modified versions of vim under
 ruby | 3 | 0.85 | same terms | under the same terms as ruby
 gpl | 6 | 0.8 | general public license | gnu general public licen[cs]e
 lgpl | 6 | 0.8 | general public license | gnu (?:lesser|library) general public licen[cs]e
@@ -141,7 +141,7 @@ public-domain | 6 | 0.7 | public domain | (?:released into|placed in|dedicated t
 proprietary | 6 | 0.7 | proprietary | (?:proprietary and confidential|confidential and proprietary)
 proprietary | 6 | 0.75 | unauthorized | unauthorized (?:copying|reproduction|distribution) of this (?:file|software|document|work) (?:via any medium )?is strictly prohibited
 proprietary | 6 | 0.7 | express written | may not be (?:reproduced|copied|distributed) [a-z0-9 ]{0,60}without the (?:prior )?(?:express )?written (?:permission|consent)
-evaluation-only | 6 | 0.7 | evaluation | for evaluation purposes only
+evaluation-only | 6 | 0.7 | evaluation purposes | for evaluation purposes only
 non-commercial | 7 | 0.6 | commercial use | (?:for )?non ?commercial use only
 personal-use | 7 | 0.6 | personal use | for personal use only
 all-rights-reserved | 7 | 0.6 | all rights reserved | all rights reserved
