@@ -131,17 +131,31 @@ def discard(*tables: DataFrame) -> None:
 HOT = 10_000
 
 
-def look_up(many: DataFrame, one: DataFrame, key: str, hot: int = HOT) -> DataFrame:
-    """Inner join of many rows a key with the one row that ``one`` has for it. Keys of more than ``hot`` rows are dealt
-    over as many tasks as they need: the one row is repeated for each. The list of such keys has at most
-    rows / ``hot`` entries and is broadcast. ``many`` is counted: it should be a written table."""
+def heavy_keys(many: DataFrame, key: str, hot: int = HOT) -> DataFrame | None:
+    """key, __parts: the keys of more than ``hot`` rows, and over how many tasks each is dealt; None if there is none. The
+    list has at most rows / ``hot`` entries. ``many`` is read twice: it should be a written table."""
     if many.count() <= hot:
-        return many.join(one, key)
+        return None
     heavy = cut(many.groupBy(key).agg(F.count("*").alias("__parts")).where(F.col("__parts") > hot).select(key, F.ceil(F.col("__parts") / hot).cast("int").alias("__parts")))
     if heavy.isEmpty():
         discard(heavy)
+        return None
+    return heavy
+
+
+def look_up_dealt(many: DataFrame, one: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+    """Inner join of many rows a key with the one row that ``one`` has for it. ``heavy`` (see ``heavy_keys``) is broadcast:
+    its keys are dealt over as many tasks as they need, and the one row is repeated for each."""
+    if heavy is None:
         return many.join(one, key)
     heavy = F.broadcast(heavy)
-    left = many.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(*many.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    dealt_by = [f.name for f in many.schema if f.dataType.typeName() != "array"]
+    left = many.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(*dealt_by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     right = one.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [key, "__part"]).drop("__part")
+
+
+def look_up(many: DataFrame, one: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """Inner join of many rows a key, a written table, with the one row that ``one`` has for it; keys of more than ``hot``
+    rows are dealt over several tasks."""
+    return look_up_dealt(many, one, key, heavy_keys(many, key, hot))

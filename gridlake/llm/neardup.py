@@ -173,9 +173,10 @@ def _sets(ids: DataFrame, need: DataFrame, n: int, weighted: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
+    """The pairs, a written table, whose exact similarity reaches the threshold. Hot texts of either side are found in the
+    pairs alone, so that elements are joined to them once."""
     sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    both = common.look_up(common.look_up(pairs, sa, "a"), sb, "b")
+    both = common.look_up_dealt(common.look_up(pairs, sa, "a"), sb, "b", common.heavy_keys(pairs, "b"))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where((shared > 0) & (shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared) - 1e-9)).select("a", "b")
 
