@@ -5,7 +5,8 @@ collapsed. Markup sorts the blocks: what stands in menus, headers, footers, side
 forms, scripts, styles or reader comments is page furniture and goes; what stands in an article or main
 element is the article and stays; the rest is undecided. The token streams of a host's distinct pages, articles
 included, are concatenated and their suffixes sorted: an undecided token goes if a substring of ``run`` or more
-tokens around it, however long, also occurs in another page of the host. Unique runs are kept.
+tokens around it, however long, also occurs in another page of the host. Unique runs are kept. A substring may span
+blocks, but not the border between undecided and decided ones: pages whose articles begin alike lose no line before them.
 
 A host's streams are sorted in shards of bounded token mass; each shard of several reports the ``run``-token heads
 of its suffixes, and heads that meet again in another shard count as repeated too: a substring repeats exactly if
@@ -121,15 +122,20 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
+#: What ends a block of a page's stream: a mark, or between an undecided block and a decided one a border, which equals nothing.
+MARK, BORDER = "¶", "\n"
+
+
 def stream(found: list[tuple[str, int]]) -> tuple[list[str], list[int]]:
-    """Tokens of a page, each block ending with a mark, and the places of the undecided ones."""
+    """Tokens of a page, each block ending with a mark or border, and the places of the undecided ones."""
     words: list[str] = []
     undecided: list[int] = []
-    for t, kind in found:
+    for i, (t, kind) in enumerate(found):
         own = t.split(" ")
         if kind == OPEN:
             undecided += range(len(words), len(words) + len(own))
-        words += [*own, "¶"]
+        ends = i + 1 < len(found) and (kind == OPEN) != (found[i + 1][1] == OPEN)
+        words += [*own, BORDER if ends else MARK]
     return words, undecided
 
 
@@ -172,9 +178,11 @@ def shared_lengths(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.n
     sizes = np.array([len(p) + 1 for p in pages])
     page = np.repeat(np.arange(len(pages)), sizes)
     place = np.arange(page.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    words = pd.factorize(np.array([w for p in pages for w in [*p, ""]], dtype=object))[0].astype(np.int64)
+    tokens = np.array([w for p in pages for w in [*p, ""]], dtype=object)
+    words = pd.factorize(tokens)[0].astype(np.int64)
     last = place == sizes[page] - 1
-    words[last] = words.max() + 1 + np.arange(len(pages))  # a mark of its own ends each page
+    single = last | (tokens == BORDER)
+    words[single] = words.max() + 1 + np.arange(single.sum())  # a mark of its own ends each page, and is each border
     order, lcp = suffix_array(words)
     of = page[order]
 
@@ -191,16 +199,17 @@ def shared_lengths(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.n
     return page[~last], place[~last], out[~last]
 
 
-def head_keys(words: list[str], run: int) -> np.ndarray:
-    """Hashes of the ``run`` tokens from each place on, as far as the page goes."""
+def head_keys(words: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``run`` tokens from each place on, as far as the page goes, and whether they hold no border."""
     if len(words) < run:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    borders = np.concatenate(([0], np.cumsum([w == BORDER for w in words])))
     h = pd.util.hash_array(np.array(words, dtype=object), categorize=True)
     key = np.zeros(h.size - run + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(run):
             key = key * np.uint64(0x9E3779B97F4A7C15) + h[j : h.size - run + 1 + j]
-    return key.view(np.int64)
+    return key.view(np.int64), borders[run:] == borders[:-run]
 
 
 def keep_text(found: list[tuple[str, int]], covered: np.ndarray | None = None) -> tuple[str, int]:
@@ -264,9 +273,9 @@ def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000) -> Data
             at = np.array(spots[i], dtype=np.int64)
             out.append(pd.DataFrame({"host": host, "sk": sk, "key": None, "place": at[end[at] > at] if at.size else at}))
             if several:
-                keys = head_keys(words[i], run)
-                touch = np.searchsorted(at, np.arange(keys.size) + run) > np.searchsorted(at, np.arange(keys.size))
-                uniq = np.unique(keys)
+                keys, whole = head_keys(words[i], run)
+                touch = whole & (np.searchsorted(at, np.arange(keys.size) + run) > np.searchsorted(at, np.arange(keys.size)))
+                uniq = np.unique(keys[whole])
                 out += [pd.DataFrame({"host": host, "sk": None, "key": uniq, "place": -1}), pd.DataFrame({"host": host, "sk": sk, "key": keys[touch], "place": np.flatnonzero(touch)})]
         got = pd.concat(out)
         alone = got["sk"].isna()

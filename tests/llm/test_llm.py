@@ -282,6 +282,42 @@ def test_repeated_runs_across_pages(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_repeats_equal_brute_force(spark):
+    import random
+
+    rnd, run = random.Random(5), 4
+    kinds = [("div", htmltext.OPEN), ("article", htmltext.ARTICLE)]
+    made = []
+    for _ in range(40):
+        found = [(rnd.choice(kinds), " ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))) for _ in range(rnd.randint(1, 5))]
+        made.append([(tag, t, kind) for (tag, kind), t in found])
+    made = [list(m) for m in {tuple(m) for m in made}]
+    streams = []
+    for m in made:
+        words = []
+        for i, (_, t, kind) in enumerate(m):
+            border = i + 1 < len(m) and kind != m[i + 1][2]
+            words += [*t.split(" "), ("border", id(m), i) if border else "mark"]
+        streams.append(words)
+    heads = [{tuple(w[i : i + run]) for i in range(len(w) - run + 1)} for w in streams]
+    want = {}
+    for p, (m, w) in enumerate(zip(made, streams)):
+        gone = set()
+        for i in range(len(w) - run + 1):
+            if any(tuple(w[i : i + run]) in h for q, h in enumerate(heads) if q != p):
+                gone |= set(range(i, i + run))
+        out, at = [], 0
+        for _, t, kind in m:
+            left = [x for j, x in enumerate(t.split(" ")) if kind == htmltext.ARTICLE or at + j not in gone]
+            at += len(t.split(" ")) + 1
+            out += [" ".join(left)] if left else []
+        want[p] = "\n".join(out)
+    rows = [(p, "http://h.test/x", "<body>" + "".join(f"<{tag}>{t}</{tag}>" for tag, t, _ in m) + "</body>") for p, m in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (200_000, 60):
+        assert {r["page_id"]: r["text"] for r in htmltext.extract(df, run=run, shard_tokens=shard).collect()} == want
+
+
 def test_equal_streams_beside_different_articles_are_repeats(spark):
     shared = "join our mailing list for all the latest offers today"
     rows = [(i, f"http://h.test/{i}", f"<body><nav>Home News</nav><div>{shared}</div><article><p>story {i}</p></article><footer>f</footer>") for i in range(5)]
