@@ -102,16 +102,17 @@ def give_back() -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """The table, written once to the shared checkpoint folder and read from there: lineage ends, lost executors cost
     nothing before it, and the optimizer sees the files' sizes. (``checkpoint()`` runs its last stage twice and keeps the
     size estimates of the whole past, which grow with every join of a loop.) All tables of an application lie in one
-    folder named after it; ``discard`` removes those that no result reads any more."""
+    folder named after it; ``discard`` removes those that no result reads any more. ``codec`` compresses it otherwise than
+    the session does, for tables of whole texts."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/gridlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

@@ -237,19 +237,19 @@ def extract(pages: DataFrame, run: int = 6, shard_tokens: int = 200_000) -> Data
 
     def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            texts, keys, kept = [], [], []
+            undecided, keys, kept = [], [], []
             for h, x in zip(p["host"], p["html"]):
                 b = blocks(x)
-                undecided = any(k == OPEN for _, k in b)
-                texts.append(None if undecided else keep_text(b)[0])
+                undecided.append(any(k == OPEN for _, k in b))
                 keys.append(stream_key(h, b))
                 kept.append([{"t": t, "k": k} for t, k in b])
-            yield pd.DataFrame({"page_id": p["page_id"], "url": p["url"], "host": p["host"], "text": texts, "sk": keys, "blocks": kept})
+            yield pd.DataFrame({"page_id": p["page_id"], "url": p["url"], "host": p["host"], "undecided": undecided, "sk": keys, "blocks": kept})
 
     kinds = dict(rows.dtypes)
-    seen = common.cut(rows.mapInPandas(parsed, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, text string, sk binary, blocks array<struct<t:string,k:int>>"))
-    decided = seen.where("text is not null").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_repeated"))
-    undecided = seen.where("text is null")
+    seen = common.cut(rows.mapInPandas(parsed, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, undecided boolean, sk binary, blocks array<struct<t:string,k:int>>"), codec="zstd")
+    article = F.transform(F.filter("blocks", lambda b: b["k"] == ARTICLE), lambda b: b["t"])
+    decided = seen.where("not undecided").select("page_id", "url", F.array_join(article, "\n").alias("text"), F.lit(0).cast("long").alias("n_repeated"))
+    undecided = seen.where("undecided")
     if undecided.isEmpty():
         return _counted(decided)
 
