@@ -24,10 +24,20 @@ def used_range(cells: DataFrame) -> DataFrame:
 
 
 def line_values(cells: DataFrame, value: Column, axis: str = "row") -> DataFrame:
-    """The line's number and ``values``: from the first position to its last cell, null where there is none."""
+    """The line's number and ``values``: from the first position to its last cell, null where there is none. Cells below
+    position 1 are left out; two cells at one position are an error."""
     other = "col" if axis == "row" else "row"
-    held = cells.groupBy(axis).agg(F.map_from_entries(F.collect_list(F.struct(F.col(other), value.alias("v")))).alias("m"), F.max(other).alias("last"))
-    return held.select(axis, F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.try_element_at("m", i)).alias("values"))
+    held = cells.groupBy(axis).agg(F.collect_list(F.when(F.col(other) < 1, None).otherwise(F.struct(F.col(other).alias("p"), value.alias("v")))).alias("m"))
+    order = held.select(axis, "m", F.array_sort(F.transform("m", lambda x, i: F.struct(x["p"].alias("p"), i.alias("i")))).alias("o"))
+
+    # nulls for the gap before a cell, then its value: in proportion to the line's length
+    def piece(x: Column, i: Column) -> Column:
+        gap = x["p"] - F.coalesce(F.get("o", i - 1)["p"], F.lit(0)) - 1
+        gap = F.when(gap >= 0, gap).otherwise(F.raise_error(F.lit("two cells at one position, or a cell without one")).cast("int"))
+        own = F.array(F.get("m", x["i"])["v"])
+        return F.when(gap == 0, own).otherwise(F.concat(F.array_repeat(F.get(own, F.lit(1)), gap), own))
+
+    return order.select(axis, F.flatten(F.transform("o", piece)).alias("values"))
 
 
 def addresses(rects: DataFrame) -> DataFrame:

@@ -295,3 +295,20 @@ def test_refusals(spark):
     empty = spark.createDataFrame([], "row int, col int, kind string")
     assert facets.used_range(empty).count() == 0 and extent.tight_box(empty).first()["top"] is None
     assert facets.table_row_at(spark.createDataFrame([(1, 1, 2, True, True, 3)], "top int, left int, data_rows int, header_row boolean, totals_row boolean, columns int"), F.lit(3)).first()["insert_at"] == 4
+
+
+def test_line_values_of_long_and_gappy_lines(spark):
+    """Work in proportion to the line: tens of thousands of cells with gaps take seconds, maps are values too."""
+    import time
+
+    cells = spark.createDataFrame([(2, 1, "a"), (5, 1, None), (0, 2, "below"), (0, 3, "below"), (3, 3, "c")], "row int, col int, str string")
+    got = {r["col"]: r["values"] for r in facets.line_values(cells, F.create_map(F.lit("s"), F.col("str")), "col").collect()}
+    a, none, c = {"s": "a"}, {"s": None}, {"s": "c"}
+    assert got == {1: [None, a, None, None, none], 2: [], 3: [None, None, c]}
+    n, at = 40_000, time.time()
+    long = spark.range(n).select((n - F.col("id")).cast("int").alias("k"), F.lit(1).alias("col")).select((F.col("k") * 3).alias("row"), "col", "k")
+    values = facets.line_values(long, F.col("k"), "col").first()["values"]
+    assert len(values) == 3 * n and values[2::3] == list(range(1, n + 1)) and values[0::3] == values[1::3] == [None] * n
+    assert time.time() - at < 30
+    with pytest.raises(Exception, match="two cells at one position"):
+        facets.line_values(cells.unionByName(cells), F.col("str"), "col").collect()
