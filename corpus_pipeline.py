@@ -28,7 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
     score, evidence = common.fresh(docs, "score", "evidence")
-    return toxicity.score(docs, model, score_col=score, evidence_col=evidence).where(F.col(score) < TOXIC_FROM).select(*COLUMNS)
+    scored = toxicity.score(docs, model, score_col=score, evidence_col=evidence)
+    del model  # the executors have it; the driver shares its memory with a JVM
+    common.give_back()
+    return scored.where(F.col(score) < TOXIC_FROM).select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

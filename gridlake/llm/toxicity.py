@@ -47,12 +47,22 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def feature_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in word_counts(text).items():
-        for f in features(w):
-            out[f] += n
-    return out
+def numbered(texts: list[str | None]) -> tuple[tuple[dict[str, int], dict[str, int]], list[tuple[np.ndarray, np.ndarray]]]:
+    """Numbers of all words and of all beginnings, in the order in which they are first seen, and each text's features
+    and how often it has them: two small arrays a text, the strings are held once."""
+    words: dict[str, int] = {}
+    stems: dict[str, int] = {}
+    out = []
+    for t in texts:
+        counts: dict[int, int] = {}
+        for w, n in word_counts(t).items():
+            i = words.setdefault(w, len(words) + len(stems))
+            counts[i] = counts.get(i, 0) + n
+            if len(w) > STEM:
+                i = stems.setdefault(w[:STEM], len(words) + len(stems))
+                counts[i] = counts.get(i, 0) + n
+        out.append((np.fromiter(counts, dtype=np.int32, count=len(counts)), np.fromiter(counts.values(), dtype=np.int32, count=len(counts))))
+    return (words, stems), out
 
 
 def families(texts: list[str], bands: int = 12, rows: int = 4) -> list[int]:
@@ -86,11 +96,14 @@ class BlockMaxIndex:
     weight. Lists of terms that more than one of ``share`` examples has are kept as full rows instead: their part of the
     product is one matrix product for a whole batch of queries, and it enters the blocks' bounds exactly."""
 
-    def __init__(self, rows: list[dict[int, float]], terms: int, block: int = 64, share: int = 24) -> None:
+    def __init__(self, rows: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64, share: int = 24) -> None:
+        """rows: the weight of each term, or arrays of terms and of weights."""
         self.size, self.block = len(rows), block
-        sizes = [len(r) for r in rows]
-        term = np.fromiter((t for r in rows for t in r), dtype=np.int32, count=sum(sizes))
-        weight = np.fromiter((w for r in rows for w in r.values()), dtype=np.float64, count=sum(sizes))
+        pairs = [(np.fromiter(r, np.int32, len(r)), np.fromiter(r.values(), np.float64, len(r))) if isinstance(r, dict) else r for r in rows]
+        sizes = [t.size for t, _ in pairs]
+        term = np.concatenate([np.zeros(0, dtype=np.int32), *(t for t, _ in pairs)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in pairs)])
+        del pairs
         row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
         often = np.flatnonzero(np.bincount(term, minlength=terms) > max(block, len(rows) // share)) if term.size else np.zeros(0, dtype=np.int64)
         #: row of ``full`` that a term has, or -1
@@ -198,13 +211,12 @@ class ToxicityModel:
         return [known[t] for t in texts]
 
 
-def _telling(df: tuple[Counter, Counter], n: tuple[int, int]) -> dict[str, float]:
-    """Features that a likelihood-ratio test ties to a class, and how sharply: log odds, 1 from e^4 on."""
-    out, total = {}, n[0] + n[1]
-    often = [(f, a) for f, a in df[1].items() if a >= 3] if n[0] else []
-    least = 2 * math.log(max(2, len(often))) + 4  # by chance, e^-2 of them pass
-    for f, a in often:
-        b = df[0][f]
+def _telling(df: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    """For each feature how sharply a likelihood-ratio test ties it to a class: log odds, 1 from e^4 on; ``FLOOR`` for those that fail it."""
+    out, total = np.full(df.shape[1], FLOOR), n[0] + n[1]
+    often = np.flatnonzero(df[1] >= 3) if n[0] else np.zeros(0, dtype=np.int64)
+    least = 2 * math.log(max(2, often.size)) + 4  # by chance, e^-2 of them pass
+    for f, a, b in zip(often.tolist(), df[1][often].tolist(), df[0][often].tolist()):
         e = (a + b) * n[1] / total
         g = 2 * sum(o * math.log(o / x) for o, x in ((a, e), (b, a + b - e), (n[1] - a, n[1] - e), (n[0] - b, n[0] - (a + b - e))) if o > 0 and x > 0)
         if g >= least:
@@ -212,35 +224,40 @@ def _telling(df: tuple[Counter, Counter], n: tuple[int, int]) -> dict[str, float
     return out
 
 
-def _index(rows: list[tuple[object, str | None, int]], counts: list[Counter], family: list[int], share: tuple[float, float]) -> ToxicityModel:
+def _index(rows: list[tuple[object, str | None, int]], vocabulary: tuple[dict[str, int], dict[str, int]], counts: list[tuple[np.ndarray, np.ndarray]], family: list[int], share: tuple[float, float]) -> ToxicityModel:
+    """The model of some rows; ``vocabulary`` numbers the features that they have, in the order in which they are first seen."""
     y = np.array([r[2] for r in rows], dtype=int)
+    size = len(vocabulary[0]) + len(vocabulary[1])
     n = (len({f for f, l in zip(family, y) if l == 0}), len({f for f, l in zip(family, y) if l == 1}))
-    df: tuple[Counter, Counter] = (Counter(), Counter())
+    df, each = np.zeros((2, size), dtype=np.int32), np.zeros(size, dtype=np.int32)
     by_family: dict[tuple[int, int], list[int]] = {}
     for i, f in enumerate(family):
         by_family.setdefault((int(y[i]), f), []).append(i)
+        each[counts[i][0]] += 1
     for (label, _), own in by_family.items():
-        df[label].update(counts[own[0]].keys() if len(own) == 1 else set().union(*(counts[i].keys() for i in own)))
-    telling = _telling(df, n)
-    each: Counter = Counter()
-    for c in counts:
-        each.update(c.keys())
+        df[label][counts[own[0]][0] if len(own) == 1 else np.unique(np.concatenate([counts[i][0] for i in own]))] += 1
     total = len(rows)
-    vocabulary = {f: j for j, f in enumerate(each)}
-    weight = np.fromiter(((math.log((total + 1) / (d + 1)) + 1) * telling.get(f, FLOOR) for f, d in each.items()), dtype=np.float64, count=len(each))
+    weight = np.array([math.log((total + 1) / (d + 1)) + 1 for d in range(total + 1)])[each] * _telling(df, n)
     at = [int((y == c).sum()) for c in (0, 1)]
     class_weight = tuple(share[c] * total / at[c] if at[c] else 0.0 for c in (0, 1))
     vectors = []
-    for c in counts:
-        terms = np.fromiter((vocabulary[f] for f in c), dtype=np.int64, count=len(c))
-        v = (1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c)))) * weight[terms]
-        vectors.append(dict(zip(terms.tolist(), (v / math.sqrt(float(v @ v))).tolist())) if len(c) else {})
+    for terms, often in counts:
+        v = (1 + np.log(often.astype(np.float64))) * weight[terms]
+        vectors.append((terms, v / math.sqrt(float(v @ v)) if v.size else v))
     # alike examples in one block: by label, then by their weightiest term
-    lead = [max(v, key=lambda t: (v[t], t)) if v else -1 for v in vectors]
+    lead = [int(terms[v == v.max()].max()) if v.size else -1 for terms, v in vectors]
     order = sorted(range(total), key=lambda i: (-y[i], lead[i], i))
-    index = BlockMaxIndex([vectors[i] for i in order], len(vocabulary))
-    parts = tuple({f[1:]: j for f, j in vocabulary.items() if f[0] == c} for c in "=^")
-    return ToxicityModel(parts, weight, FLOOR * (math.log(total + 1) + 1), index, y[order], [rows[i][0] for i in order], class_weight, share[1])
+    index = BlockMaxIndex([vectors[i] for i in order], size)
+    return ToxicityModel(vocabulary, weight, FLOOR * (math.log(total + 1) + 1), index, y[order], [rows[i][0] for i in order], class_weight, share[1])
+
+
+def _part(own: np.ndarray, vocabulary: tuple[dict[str, int], dict[str, int]], counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[dict[str, int], dict[str, int]], list[tuple[np.ndarray, np.ndarray]]]:
+    """Vocabulary and counts of some of the texts, numbered anew: what the others alone have is unseen there."""
+    seen, first = np.unique(np.concatenate([np.zeros(0, dtype=np.int32), *(counts[i][0] for i in own)]), return_index=True)
+    number = np.full(len(vocabulary[0]) + len(vocabulary[1]), -1, dtype=np.int32)
+    number[seen[np.argsort(first)]] = np.arange(seen.size)
+    named = tuple({w: j for w, i in v.items() if (j := int(number[i])) >= 0} for v in vocabulary)
+    return named, [(number[counts[i][0]], counts[i][1]) for i in own]
 
 
 def _curve(votes: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -263,26 +280,27 @@ def fit_texts(rows: list[tuple[object, str | None, int]], share: tuple[float, fl
     """rows: (id, text, label). share: the classes' shares among all labels, if the rows are a sample."""
     rows = sorted(rows, key=lambda r: (str(r[0]), r[1] or "", r[2]))
     y = np.array([r[2] for r in rows], dtype=int)
-    counts = [feature_counts(t) for _, t, _ in rows]
+    vocabulary, counts = numbered([t for _, t, _ in rows])
     family = families([t or "" for _, t, _ in rows])
     share = share or ((float((y == 0).mean()), float((y == 1).mean())) if rows else (1.0, 0.0))
-    model = _index(rows, counts, family, share)
-    # each half's votes on the other, families kept together, calibrate
+    # each half's votes on the other, families kept together, calibrate; each half's index goes before the next is made
     half = np.array([zlib.crc32(str(rows[f][0]).encode()) & 1 for f in family], dtype=int)
-    votes = np.zeros(len(rows))
+    votes, part, halves = np.zeros(len(rows)), None, False
     for h in (0, 1):
         own, others = np.flatnonzero(half == h), np.flatnonzero(half != h)
         if not own.size or len(set(y[own])) < 2 or not others.size:
             break
-        part = _index([rows[i] for i in own], [counts[i] for i in own], [family[i] for i in own], share)
+        del part
+        part = _index([rows[i] for i in own], *_part(own, vocabulary, counts), [family[i] for i in own], share)
         for at in range(0, others.size, 128):
             some = others[at : at + 128]
             votes[some] = [part.vote(f) for f in part.nearest([rows[i][1] for i in some])]
     else:
-        if rows:
-            model.curve = _curve(votes, y, np.array([model.class_weight[c] for c in y]))
-            return model
-    model.curve = (8.0, -4.0)  # too few examples to calibrate: 0.5 where half of the vote is toxic
+        halves = bool(rows)
+    del part
+    model = _index(rows, vocabulary, counts, family, share)
+    # too few examples to calibrate: 0.5 where half of the vote is toxic
+    model.curve = _curve(votes, y, np.array([model.class_weight[c] for c in y])) if halves else (8.0, -4.0)
     return model
 
 
