@@ -12,8 +12,9 @@ candidates together, and a candidate is accepted only by its exact similarity:
    threshold share one of their first few. Bounds on lengths and positions leave out pairs that cannot reach the
    threshold, and no other. So every pair of a bucket is settled, at every size.
 
-Classes are the components of the links, found by joins over written tables until no label moves. Buckets, leaders and
-classes of many rows are dealt over several tasks.
+Classes are the components of the links. They are found by joins over written tables, in which linked ids become one,
+until no link is left; each step's links are held against the classes so far, not against all links before. Buckets,
+leaders and classes of many rows are dealt over several tasks.
 
 Defined cases: null texts and empty ones are never linked, texts without a word only if the same string repeats;
 a text of fewer than ``n`` words is one shingle; repeated rows fall in one class; rows with a null id form no class
@@ -113,20 +114,18 @@ def _classed(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, w
     placed = common.cut(entries.join(common.near(heads), "key"))
     used = common.cut(placed.select("node").distinct())
     sets = common.cut(_sets(ids, first.join(common.near(used), "node", "left_semi").select("node", "rep"), n, weighted))
-    links = None
+    classes = None
     for star in range(STARS):
         pairs = placed.where(F.col("node") != F.col("lead")).where(_fit("size", "lsize", threshold)).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
         found = common.cut(_verified(common.cut(pairs), sets, threshold))
-        links = found if links is None else links.unionByName(found)
-        classes, met = components(links), placed.select("node", "size", "key")
+        classes, met = components(found, classes), placed.select("node", "size", "key")
         placed = common.cut(_around_largest(_with_classes(met, classes), star + 1))
 
     # all that is left between classes
     need = placed.groupBy("node").agg(F.max(F.col("node") != F.col("lead")).alias("outside"))
     need = common.cut(_with_classes(need, classes))
     found = common.cut(_verified(common.cut(_alike(sets, need, threshold)), sets, threshold))
-    if not found.isEmpty():
-        classes = components(links.unionByName(found))
+    classes = components(found, classes)
     common.discard(heads, placed, used, sets)
 
     out = common.cut(_with_classes(first.select("node", F.col("rep.id").alias("least")), classes))
@@ -221,28 +220,53 @@ def _alike(sets: DataFrame, need: DataFrame, threshold: float) -> DataFrame:
     return left.where("o").join(right, fits).select(*ends).unionByName(left.where("not o").join(right.where("p"), fits).select(*ends)).distinct()
 
 
-def components(links: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """id, cls: the smallest id that links reach. Each round takes the smallest label around and then the label's own
-    label, until none moves: a chain of n ids takes about log n rounds. Labels of at most ``most`` links are broadcast;
-    beyond that they are joined by shuffles, in which hubs and large classes are dealt over several tasks."""
-    edges = common.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    small = edges.count() <= 2 * most
-    label = common.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cls")).withColumnRenamed("u", "id"))
-
-    def look_up(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-        return many.join(F.broadcast(one), key) if small else common.look_up(common.cut(many), one, key)
-
-    while True:
-        near = look_up(edges, label.select(F.col("id").alias("v"), F.col("cls").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        step = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("cls").alias("old"), F.least("cls", "c").alias("cls"))
-        jump = label.select(F.col("id").alias("cls"), F.col("cls").alias("further"))
-        moved = common.cut(look_up(step, jump, "cls").select("id", "old", F.least("cls", "further").alias("cls")))
-        common.discard(label)
-        label = moved.select("id", "cls")
-        label._written_at = moved._written_at
-        if moved.where("old <> cls").isEmpty():
-            common.discard(edges)
-            return label
+def components(links: DataFrame, known: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
+    """id, cls: the smallest id that links reach, those behind ``known`` (such a result of earlier links) included.
+    ``links`` (a, b) is a written table.
+
+    Only links between different known classes count, as links between these. Each round every id goes to its smallest
+    neighbour, and by that one's way on to a local minimum; what is left are the links between such minima, so a round
+    of star-shaped groups leaves none, and later rounds do not meet the links again. Tables of at most ``most`` links
+    are broadcast; beyond that they are joined by shuffles, in which hubs and large classes are dealt over several tasks."""
+    few = links.count() <= most and (known is None or known.count() <= most)
+
+    def look_up(many: DataFrame, one: DataFrame, key: str, to: str) -> DataFrame:
+        """``many`` with the class of ``key`` in place of it, as ``to``; ``one`` has a row for each."""
+        one = one.select(F.col("id").alias(key), F.col("cls").alias("__to"))
+        if few:
+            many = many.join(F.broadcast(one), key)
+        else:
+            many = common.look_up(many if hasattr(many, "_written_at") else common.cut(many), one, key)
+        return many.select(*[c for c in many.columns if c not in (key, "__to")], F.col("__to").alias(to))
+
+    def between(edges: DataFrame, one: DataFrame) -> DataFrame:
+        named = look_up(look_up(edges, one, "a", "u"), one, "b", "v").where("u <> v")
+        return common.cut(named.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    if known is None:
+        label = ends = common.cut(ends.withColumn("cls", F.col("id")))
+        edges = common.cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    else:
+        ends = common.cut(ends.join(common.near(known), "id", "left").select("id", F.coalesce("cls", "id").alias("cls"), F.col("cls").isNull().alias("fresh")))
+        label = common.cut(known.unionByName(ends.where("fresh").select("id", "cls")))
+        edges = between(links, ends)
+        common.discard(ends)
+    while not edges.isEmpty():
+        lower = edges.select(F.col("b").alias("id"), F.col("a").alias("cls")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("cls")))
+        root, moved = common.cut(lower.groupBy("id").agg(F.min("cls").alias("cls"))), True
+        while moved:
+            before, on = root, root.withColumn("old", F.col("cls"))
+            root = common.cut(look_up(on, before, "cls", "cls"))
+            moved = not root.where("old <> cls").isEmpty()
+            common.discard(before)
+        root_ids = root.select("id", "cls")
+        rest = label.select(F.col("cls").alias("id")).distinct().join(root_ids, "id", "left_anti").withColumn("cls", F.col("id"))
+        old_label, label = label, common.cut(look_up(label, root_ids.unionByName(rest), "cls", "cls"))
+        old_edges, edges = edges, between(edges, root_ids)
+        common.discard(old_label, old_edges, root)
+    common.discard(edges)
+    return label
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:

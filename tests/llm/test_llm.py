@@ -151,6 +151,41 @@ def test_near_duplicates_in_a_template_group_lose_no_link(spark):
     assert [got[i] for i in range(len(texts))] == parent and links > 300 and len(set(parent)) > 3
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components_of_links_that_come_in_steps(spark, monkeypatch, most):
+    """Classes as by brute force; a step's links meet the classes, not the links of steps before, and no link comes twice."""
+    from gridlake.llm import common
+
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(np.arange(-20, 60)).tolist()
+    first = list(zip(ids[:10], ids[1:10])) + [(500 + i % 7, 600 + i) for i in range(300)] + [(601, 502), (601, 601)]
+    steps = [first, [(ids[9], ids[70]), (ids[71], ids[3]), (505, 504), (599, 598)], []]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    plain, made, classes = common.cut, [], None
+
+    def counted(df, *more):
+        out = plain(df, *more)
+        made.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    for links in steps:
+        made.clear()
+        classes = neardup.components(plain(spark.createDataFrame(links, "a long, b long")), classes, most=most)
+        for a, b in links:
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+        assert {r["id"]: r["cls"] for r in classes.collect()} == {x: top(x) for x in list(parent)}
+        edges = [n for columns, n in made if columns == {"a", "b"}]
+        assert max(edges, default=0) <= len(links) and sum(edges) <= 1.5 * len(links)
+
+
 def test_deduplicate_tells_rows_of_one_id_apart(spark):
     rows = [(2, "a first text of some words here"), (5, "a first text of some words here"), (5, "quite another text that nobody else has"), (7, None), (7, None), (8, ""), (None, "x y"), (None, "x y"), (9, "x y"), (9, "x y")]
     df = spark.createDataFrame([(*r, "g", "x") for r in rows], "doc_id long, text string, __gone string, X string")
