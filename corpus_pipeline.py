@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score, evidence = common.fresh(docs, "score", "evidence")
     scored = toxicity.score(docs, model, score_col=score, evidence_col=evidence)
     del model  # the executors have it; the driver shares its memory with a JVM
-    common.give_back()
+    common.give_back(spark)
     return scored.where(F.col(score) < TOXIC_FROM).select(*COLUMNS)
 
 

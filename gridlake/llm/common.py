@@ -90,8 +90,10 @@ def near(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def give_back() -> None:
-    """Return freed memory to the system after a fit: the driver shares its memory with a JVM."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return freed memory to the system: after a fit, and, if a session is named, after a step of many joins. The driver
+    shares its memory with a JVM, whose hundreds of short-lived threads leave freed memory in their allocator's arenas.
+    Its collection also lets go of broadcasts and shuffle files that nothing refers to any more."""
     import ctypes
     import gc
 
@@ -100,6 +102,27 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+    if spark is not None:
+        spark._jvm.System.gc()
+        trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Let the driver's JVM return what its native allocator holds but does not use; False if that JVM cannot (before
+    Java 17.0.9, or not on Linux with glibc)."""
+    from py4j.protocol import Py4JError
+
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # the server's own class is closed to reflection, its interface is open
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = name, "systemTrimNativeHeap"
+        return "rim native heap" in str(invoke.invoke(server, given))
+    except Py4JError:
+        return False
 
 
 def cut(df: DataFrame, codec: str | None = None) -> DataFrame:

@@ -36,8 +36,9 @@ from . import dartminhash as dart
 
 BANDS, ROWS, STARS = 42, 7, 3
 _CHARS = 150_000
-#: Prefix join: counters of how common elements are (by their low bits). Collisions change the order, never the result.
-_COUNTERS = 1 << 18
+#: Prefix join: counters of how common elements are (by their low bits), and how many of them come to the driver as one
+#: row. Collisions change the order, never the result.
+_COUNTERS, _COUNTER_BLOCK = 1 << 18, 1 << 10
 
 
 def fingerprints(texts: list[str | None]) -> list[bytes | None]:
@@ -114,19 +115,24 @@ def _classed(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, w
     placed = common.cut(entries.join(common.near(heads), "key"))
     used = common.cut(placed.select("node").distinct())
     sets = common.cut(_sets(ids, first.join(common.near(used), "node", "left_semi").select("node", "rep"), n, weighted))
+    common.give_back(spark)
     classes = None
     for star in range(STARS):
         pairs = placed.where(F.col("node") != F.col("lead")).where(_fit("size", "lsize", threshold)).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
         found = common.cut(_verified(common.cut(pairs), sets, threshold))
         classes, met = components(found, classes), placed.select("node", "size", "key")
         placed = common.cut(_around_largest(_with_classes(met, classes), star + 1))
+        common.give_back(spark)
 
     # all that is left between classes
     need = placed.groupBy("node").agg(F.max(F.col("node") != F.col("lead")).alias("outside"))
     need = common.cut(_with_classes(need, classes))
-    found = common.cut(_verified(common.cut(_alike(sets, need, threshold)), sets, threshold))
+    alike = common.cut(_alike(sets, need, threshold))
+    common.give_back(spark)
+    found = common.cut(_verified(alike, sets, threshold))
     classes = components(found, classes)
-    common.discard(heads, placed, used, sets)
+    common.discard(heads, placed, used, sets, alike)
+    common.give_back(spark)
 
     out = common.cut(_with_classes(first.select("node", F.col("rep.id").alias("least")), classes))
     tops = out.groupBy("cls").agg(F.min("least").alias("top"))
@@ -190,16 +196,31 @@ def prefixes(s: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.nd
     return s[order[:long]], short
 
 
+def _counters(sets: DataFrame) -> np.ndarray:
+    """How many sets have an element of each counter. They come to the driver as blocks of bytes, 1 MB in all: as rows,
+    each would be an object there."""
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(_COUNTER_BLOCK, dtype="<i4")
+        counts[rows["slot"].to_numpy(dtype=np.int64) % _COUNTER_BLOCK] = np.minimum(rows["c"].to_numpy(dtype=np.int64), 2**31 - 1)
+        return pd.DataFrame({"block": [int(rows["slot"].iloc[0]) // _COUNTER_BLOCK], "counts": [counts.tobytes()]})
+
+    slots = sets.select(F.explode("s").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("c"))
+    blocks = slots.groupBy(F.floor(F.col("slot") / _COUNTER_BLOCK)).applyInPandas(packed, "block long, counts binary")
+    out = np.zeros(_COUNTERS, dtype=np.int32)
+    for r in blocks.collect():  # at most _COUNTERS / _COUNTER_BLOCK rows
+        at = r["block"] * _COUNTER_BLOCK
+        out[at : at + _COUNTER_BLOCK] = np.frombuffer(r["counts"], dtype="<i4")
+    return out
+
+
 def _alike(sets: DataFrame, need: DataFrame, threshold: float) -> DataFrame:
     """a, b: all pairs of the texts in ``need`` (node, outside, cls) that are of different classes, of which one is
     outside, and that may reach the threshold, by a prefix join on their elements: pairs that it leaves out share too
     little. Pairs that fail the bounds never leave the join."""
     spark = sets.sparkSession
     mine = common.cut(sets.join(need, "node"))
-    slots = mine.select(F.explode("s").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(_COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("c")).toPandas()  # at most _COUNTERS rows
-    counts = np.zeros(_COUNTERS, dtype=np.int32)
-    counts[slots["slot"].to_numpy(dtype=np.int64)] = np.minimum(slots["c"].to_numpy(dtype=np.int64), 2**31 - 1)
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(_counters(mine))
 
     def firsts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -286,6 +307,7 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int
     dropped, on = matching(marked.where("not keep"))
     kept = named.join(dropped, on, "left_anti")
     repeats = common.cut(marked.where("keep"))
+    common.give_back(docs.sparkSession)
     if repeats.isEmpty():
         return kept.drop(key)
     other, _ = matching(repeats)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.llm import ann, dartminhash, decontaminate, htmltext, langid, licenses, mixing, neardup, queries, tokens, toxicity, urls
+from gridlake.llm import ann, common, dartminhash, decontaminate, htmltext, langid, licenses, mixing, neardup, queries, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, h string"
@@ -151,6 +151,46 @@ def test_near_duplicates_in_a_template_group_lose_no_link(spark):
     assert [got[i] for i in range(len(texts))] == parent and links > 300 and len(set(parent)) > 3
 
 
+def test_near_duplicates_bring_few_rows_to_the_driver(spark, monkeypatch):
+    """Counters of elements come packed, however many elements the texts have, and are those of a plain count."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(3):
+        base = [f"w{i}" for i in rng.integers(0, 9_000, 4_000)]
+        texts += [" ".join(base), " ".join([*base[:400], "x", *base[401:]]), " ".join([*base[:2_000], *(f"v{i}" for i in rng.integers(0, 9_000, 2_000))])]
+    sets = [dartminhash.elements(t, 5, True).view(np.int64) for t in texts]
+    rows = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, s array<long>")
+    need = spark.createDataFrame([(i, True, i) for i in range(len(sets))], "node long, outside boolean, cls long")
+    brought, kind = [], type(rows)
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): (brought.append(out := f(self)), out)[1])
+    pairs = neardup._alike(rows, need, 0.8)
+    monkeypatch.undo()
+    assert max(map(len, brought)) <= 1_000
+    assert {(0, 1), (3, 4), (6, 7)} <= {(r["a"], r["b"]) for r in pairs.collect()}
+    plain = np.bincount(np.concatenate(sets) & (neardup._COUNTERS - 1), minlength=neardup._COUNTERS)
+    assert (neardup._counters(rows) == plain).all() and not neardup._counters(rows.limit(0)).any()
+
+
+def test_driver_gives_freed_memory_back(spark):
+    """What the JVM's native allocator has freed between pieces still in use goes back to the system."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident() -> float:
+        return int(re.search(r"Rss:\s+(\d+)", open(f"/proc/{pid}/smaps_rollup").read())[1]) / 1024
+
+    spark._jvm.System.gc()
+    assert common.trim_native(spark)
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(600)]
+    for i, d in enumerate(made):
+        if i % 50:
+            d.end()
+    spark._jvm.System.gc()  # the heap's own changes are not what is measured
+    held = resident()
+    common.give_back(spark)
+    assert resident() < held - 20
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_components_of_links_that_come_in_steps(spark, monkeypatch, most):
     """Classes as by brute force; a step's links meet the classes, not the links of steps before, and no link comes twice."""
